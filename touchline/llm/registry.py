@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import bytebpe
+from . import bytebpe, maintext, packing, quality
 
 QUERIES = {
+    "op2_best_fit_packing": packing.query,
     "op3_byte_bpe": bytebpe.query,
+    "op4_quality": quality.query,
+    "op7_main_text": maintext.query,
 }
 
 ORACLES: dict[str, str] = {}
