@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bytebpe, maintext, packing, quality
+from . import bytebpe, fingerprints, maintext, packing, quality
 
 QUERIES = {
+    "op1_fingerprints": fingerprints.query,
     "op2_best_fit_packing": packing.query,
     "op3_byte_bpe": bytebpe.query,
     "op4_quality": quality.query,
