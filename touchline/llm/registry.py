@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bytebpe, fingerprints, maintext, packing, quality
+from . import bytebpe, fingerprints, maintext, neighbours, packing, quality
 
 QUERIES = {
     "op1_fingerprints": fingerprints.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_byte_bpe": bytebpe.query,
     "op4_quality": quality.query,
     "op7_main_text": maintext.query,
+    "op10_vantage_neighbours": neighbours.query,
 }
 
 ORACLES: dict[str, str] = {}
