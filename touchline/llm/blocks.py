@@ -113,7 +113,7 @@ class Hasher:
         n = len(self._sums) - width
         if n <= 0:
             return np.empty(0, np.uint64)
-        return mix((self._sums[width:] - self._sums[:n]) * self._now[:n] + np.uint64(width) * _ROOT)
+        return mix((self._sums[width:] - self._sums[:n]) * self._now[:n] + np.uint64(width * int(_ROOT) % 2**64))
 
 
 def least_in_windows(keys: np.ndarray, width: int) -> np.ndarray:

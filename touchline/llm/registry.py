@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bytebpe, fingerprints, maintext, neighbours, packing, quality
+from . import bytebpe, fingerprints, maintext, neighbours, packing, quality, repeats
 
 QUERIES = {
     "op1_fingerprints": fingerprints.query,
     "op2_best_fit_packing": packing.query,
     "op3_byte_bpe": bytebpe.query,
     "op4_quality": quality.query,
+    "op5_suffix_repeats": repeats.query,
     "op7_main_text": maintext.query,
     "op10_vantage_neighbours": neighbours.query,
 }
