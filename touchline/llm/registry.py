@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bytebpe, fingerprints, maintext, neighbours, packing, quality, repeats
+from . import bytebpe, fingerprints, jaccard, maintext, neighbours, packing, quality, repeats
 
 QUERIES = {
     "op1_fingerprints": fingerprints.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_byte_bpe": bytebpe.query,
     "op4_quality": quality.query,
     "op5_suffix_repeats": repeats.query,
+    "op6_jaccard": jaccard.query,
     "op7_main_text": maintext.query,
     "op10_vantage_neighbours": neighbours.query,
 }
