@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bytebpe, fingerprints, jaccard, maintext, neighbours, packing, quality, repeats
+from . import bytebpe, fingerprints, jaccard, language, maintext, neighbours, packing, quality, repeats
 
 QUERIES = {
     "op1_fingerprints": fingerprints.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_suffix_repeats": repeats.query,
     "op6_jaccard": jaccard.query,
     "op7_main_text": maintext.query,
+    "op8_language_model": language.query,
     "op10_vantage_neighbours": neighbours.query,
 }
 
