@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bytebpe, fingerprints, jaccard, language, maintext, neighbours, packing, quality, repeats
+from . import bytebpe, fingerprints, jaccard, language, maintext, neighbours, packing, passages, quality, repeats
 
 QUERIES = {
     "op1_fingerprints": fingerprints.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_jaccard": jaccard.query,
     "op7_main_text": maintext.query,
     "op8_language_model": language.query,
+    "op9_passages": passages.query,
     "op10_vantage_neighbours": neighbours.query,
 }
 
