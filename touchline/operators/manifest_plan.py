@@ -1,0 +1,56 @@
+"""Classification of a manifest's entries and mappings against a catalog, as joins and cases."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def planned_entries(entries: DataFrame, existing: DataFrame) -> DataFrame:
+    """entries: sequence, entity, id, name, parent_id (null where none), issues (null if sound). existing: entity, id, name, parent_id, status. Adds action: create, unchanged, conflict or invalid.
+
+    Entities of one (entity, id) given twice are invalid; so are those whose parent neither exists and is active nor is created by the same manifest.
+    """
+    times = F.count(F.lit(1)).over(Window.partitionBy("entity", "id"))
+    e = entries.withColumn("_times", times)
+    known = existing.select("entity", "id", F.col("name").alias("_name"), F.col("parent_id").alias("_parent"), F.col("status").alias("_status"))
+    e = e.join(known, ["entity", "id"], "left")
+    sound = F.col("issues").isNull() & (F.col("_times") == 1)
+    parents = existing.where("status = 'active'").select(F.col("entity").alias("_pe"), F.col("id").alias("_pid"))
+    made = e.where(sound & F.col("_status").isNull()).select(F.col("entity").alias("_pe"), F.col("id").alias("_pid"))
+    good = parents.unionByName(made).distinct().withColumn("_good", F.lit(True))
+    e = e.join(good, (F.col("_pe") == F.col("parent_entity")) & (F.col("_pid") == F.col("parent_id")), "left").drop("_pe", "_pid")
+    same = (F.col("name") == F.col("_name")) & F.col("parent_id").eqNullSafe(F.col("_parent")) & (F.col("_status") == "active")
+    action = (
+        F.when(~sound, "invalid")
+        .when(F.col("parent_id").isNotNull() & F.col("_good").isNull(), "invalid")
+        .when(F.col("_status").isNull(), "create")
+        .when(same, "unchanged")
+        .otherwise("conflict")
+    )
+    return e.withColumn("action", action).drop("_times", "_name", "_parent", "_status", "_good")
+
+
+def planned_mappings(mappings: DataFrame, entries: DataFrame, existing: DataFrame) -> DataFrame:
+    """mappings: sequence, entity, id, provider, provider_id, provider_match_id, issues. entries: planned entries. existing: entity, provider, provider_id, provider_match_id, canonical_id."""
+    key = ["entity", "provider", "provider_id", "provider_match_id"]
+    by = Window.partitionBy(*key)
+    m = mappings.withColumn("_times", F.count(F.lit(1)).over(by)).withColumn("_targets", F.size(F.collect_set("id").over(by)))
+    known = existing.select(*[F.col(c).alias(f"_{c}") for c in key], "canonical_id")
+    on = (m["entity"] == known["_entity"]) & (m["provider"] == known["_provider"]) & (m["provider_id"] == known["_provider_id"]) & m["provider_match_id"].eqNullSafe(known["_provider_match_id"])
+    m = m.join(known, on, "left").drop(*[f"_{c}" for c in key])
+    target = entries.groupBy("entity", "id").agg(F.max(F.col("action").isin("create", "unchanged")).alias("_fine"))
+    m = m.join(target, ["entity", "id"], "left")
+    action = (
+        F.when(F.col("issues").isNotNull(), "invalid")
+        .when(F.col("_times") > 1, F.when(F.col("_targets") > 1, "conflict").otherwise("invalid"))
+        .when(F.col("canonical_id") == F.col("id"), "unchanged")
+        .when(F.col("canonical_id").isNotNull(), "conflict")
+        .when(F.coalesce("_fine", F.lit(False)), "create")
+        .otherwise("invalid")
+    )
+    return m.withColumn("action", action).drop("_times", "_targets", "canonical_id", "_fine")
+
+
+def action_counts(planned: DataFrame) -> DataFrame:
+    return planned.agg(*[F.count_if(F.col("action") == a).alias(a) for a in ("create", "unchanged", "conflict", "invalid")])
