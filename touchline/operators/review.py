@@ -177,13 +177,16 @@ class ReviewStore:
 
     def _take(self, store: dict, found: list) -> list[int]:
         known = {c.key for c in store.values()}
-        fresh = list({c.key: c for c in reversed(found) if c.key not in known}.values())[::-1]
+        fresh: dict = {}
+        for c in found:
+            if c.key not in known:
+                fresh.setdefault(c.key, c)
         if not fresh:
             return []
         self.revision = self._next()
         top = max(store, default=0)
         ids = []
-        for i, c in enumerate(fresh, top + 1):
+        for i, c in enumerate(fresh.values(), top + 1):
             store[i] = replace(c, id=i, status=UNRESOLVED)
             ids.append(i)
         return ids

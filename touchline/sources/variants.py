@@ -6,7 +6,6 @@ complaint to a list; the first complaint of a record, in reading order, becomes
 
 from __future__ import annotations
 
-from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,11 +83,12 @@ class Record:
 
 def records(spark: SparkSession, path: str, what: str) -> DataFrame:
     """The elements of a JSON array as (_ord, v, file). A path may name many files; each is an array of its own, and is read by one task."""
-    documents = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.parse_json("value").alias("doc"))
-    try:
-        first = documents.select(F.min(F.when(~F.schema_of_variant("doc").like("ARRAY<%"), F.col("file")))).first()
-    except PySparkException as e:
-        raise InvalidSource(f"Invalid JSON in {what} file '{path}': {e}") from e
-    if first[0] is not None:
-        raise InvalidSource(f"Invalid {what} file '{first[0]}': top-level JSON must be an array")
+    documents = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.try_parse_json("value").alias("doc"))
+    malformed = F.when(F.col("doc").isNull(), F.col("file"))
+    other = F.when(~F.schema_of_variant("doc").like("ARRAY<%"), F.col("file"))
+    first = documents.select(F.min(malformed).alias("malformed"), F.min(other).alias("other")).first()
+    if first["malformed"] is not None:
+        raise InvalidSource(f"Invalid JSON in {what} file '{first['malformed']}'")
+    if first["other"] is not None:
+        raise InvalidSource(f"Invalid {what} file '{first['other']}': top-level JSON must be an array")
     return spark.sql(f"select file, pos as {ORD}, value as v from {{documents}}, lateral variant_explode(doc)", documents=documents).withColumn(ORD, F.col(ORD).cast("long"))
