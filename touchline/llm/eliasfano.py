@@ -5,6 +5,11 @@ from __future__ import annotations
 import numpy as np
 
 _WORD = 64
+#: Place of the r-th one of each byte.
+_SELECT = np.zeros((256, 8), np.int64)
+for _byte in range(256):
+    _ones = [i for i in range(8) if _byte >> i & 1]
+    _SELECT[_byte, : len(_ones)] = _ones
 
 
 def encode(values: np.ndarray, universe: int) -> list[np.ndarray]:
@@ -31,7 +36,8 @@ class Sequence:
     def __init__(self, data: np.ndarray, at: int = 0):
         self.n, self.low, lows, words = (int(x) for x in data[at : at + 32].view("<i8"))
         at += 32
-        self.lows = data[at : at + lows]
+        # the eight bytes from each byte on, read in place
+        self._lows64 = np.ndarray((lows - 7,), "<u8", data[at : at + lows], strides=(1,))
         at += lows + -lows % 8
         self.words = data[at : at + 8 * words].view("<u8")
         at += 8 * words
@@ -41,39 +47,43 @@ class Sequence:
     def _zero(self, k: np.ndarray) -> np.ndarray:
         """Place of the k-th zero, from 0."""
         j = np.searchsorted(self.zeros, k, "right") - 1
-        bits = np.unpackbits((~self.words[j]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        rank = np.cumsum(bits, axis=1, dtype=np.uint8)
-        return j * _WORD + np.argmax(rank > (k - self.zeros[j])[:, None], axis=1)
+        octets = (~self.words[j]).view(np.uint8).reshape(-1, 8)
+        upto = np.cumsum(np.bitwise_count(octets), axis=1, dtype=np.int64)
+        rank = k - self.zeros[j]
+        at = (upto <= rank[:, None]).sum(axis=1)
+        row = np.arange(len(k))
+        rank = rank - np.where(at > 0, upto[row, np.maximum(at - 1, 0)], 0)
+        return j * _WORD + at * 8 + _SELECT[octets[row, at], rank]
 
     def _lows(self, i: np.ndarray) -> np.ndarray:
         bit = i * self.low
-        byte = bit >> 3
-        raw = np.ascontiguousarray(self.lows[byte[:, None] + np.arange(8)]).view("<u8").ravel()
-        return (raw >> (bit & 7).astype(np.uint64)) & np.uint64((1 << self.low) - 1)
+        return (self._lows64[bit >> 3] >> (bit & 7).astype(np.uint64)) & np.uint64((1 << self.low) - 1)
 
     def find(self, x: np.ndarray) -> np.ndarray:
-        """Rank of each x in the sequence, -1 where it isn't: the search for its successor starts at the first number with its high bits."""
+        """Rank of each x in the sequence, -1 where it isn't: a binary search for its successor among the numbers with its high bits, which may be many where the sequence is dense."""
         out = np.full(len(x), -1, np.int64)
         if not self.n or not len(x):
             return out
         high = (x >> np.uint64(self.low)).astype(np.int64)
         low = x & np.uint64((1 << self.low) - 1)
-        live = np.flatnonzero(high <= self.zeros[-1] + _WORD)
-        bit = np.zeros(len(x), np.int64)
-        later = live[high[live] > 0]
-        bit[later] = self._zero(high[later] - 1) + 1
+        begin, end = np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
+        distinct, back = np.unique(high, return_inverse=True)
+        later = distinct > 0
+        starts = np.zeros(len(distinct), np.int64)
+        starts[later] = self._zero(distinct[later] - 1) + 1 - distinct[later]
+        begin[:] = starts[back]
+        end[:] = (self._zero(distinct) - distinct)[back]
+        last = end.copy()
+        live = np.flatnonzero(begin < end)
         while len(live):
-            at = bit[live]
-            one = (self.words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) > 0
-            live, at = live[one], at[one]
-            if not len(live):
-                break
-            item = at - high[live]
-            got = self._lows(item) if self.low else np.zeros(len(item), np.uint64)
-            same = got == low[live]
-            out[live[same]] = item[same]
-            live = live[got < low[live]]
-            bit[live] += 1
+            middle = (begin[live] + end[live]) >> 1
+            less = self._lows(middle) < low[live]
+            begin[live[less]] = middle[less] + 1
+            end[live[~less]] = middle[~less]
+            live = live[begin[live] < end[live]]
+        there = np.flatnonzero(begin < last)
+        there = there[self._lows(begin[there]) == low[there]]
+        out[there] = begin[there]
         return out
 
 
