@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes worked on at once; a longer text forms a block of its own.
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
@@ -60,6 +62,23 @@ def text_blocks(column, limit: int = BLOCK) -> Iterator[tuple[int, int, np.ndarr
     data, offsets = column_bytes(column)
     for i, j in spans(offsets, limit):
         yield i, j, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+    give_back()
+
+
+def _trimmer():
+    try:
+        return ctypes.CDLL(ctypes.util.find_library("c")).malloc_trim
+    except (OSError, AttributeError):  # not the GNU library: nothing to do
+        return lambda _: 0
+
+
+_TRIM = _trimmer()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a worker lives on for tasks of other kinds, and would keep the largest it ever had."""
+    pa.default_memory_pool().release_unused()
+    _TRIM(0)
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

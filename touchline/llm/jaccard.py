@@ -12,8 +12,9 @@ Which signatures a set needs is a matter of cost:
 - and if that is too little, its empty segments as well.
 Each step is taken by both sets of a pair or isn't needed, so none is missed.
 
-Sets with equal signatures are candidates of their least member; exact sets decide. Members of one signature that are in
-different components afterwards are compared with each other too. Equal sets are one node from the start, so copies cost
+Sets with equal signatures are candidates of the member that is in most such groups; exact sets decide. Members of one
+group that are in different components afterwards are compared with each other too, unless counts of their shingles by
+hash prove them too far apart. Equal sets are one node from the start, so copies cost
 nothing but their own row.
 
 Words are runs of other than ASCII white space, A-Z lower-cased. Fewer than five words form one shingle. Null and empty
@@ -30,10 +31,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import LOWER, Hasher, group_starts, mix, text_blocks, words
+from .blocks import LOWER, Hasher, give_back, group_starts, mix, text_blocks, words
 from .components import components
 from .packets import gather, split
-from .shared import settle, table, tasks
+from .shared import lean, settle, table, tasks
 
 WORDS = 5
 #: Similarity of at least NUMERATOR / 100.
@@ -42,11 +43,11 @@ NUMERATOR = 80
 COMMON = 0.002
 #: No shingle of fewer documents is common.
 FEW = 20
-#: A task reports shingles that so many of its documents have, of those that it counts together.
-TOLD, TOGETHER = 12, 8_000
+#: Documents whose shingles a task counts together; it reports those that half the share of them have.
+TOGETHER = 4_000
 NO_ID = np.iinfo(np.int64).max
 #: Signatures that a task holds before it sends them off.
-HELD = 1_500_000
+HELD = 500_000
 
 IS_SIGNED, IS_NODE = 0, 1
 PACKET = "target int, kind int, blob binary"
@@ -180,7 +181,7 @@ def common_shingles(df: DataFrame, text: str, share: float = COMMON) -> np.ndarr
 
         def flush() -> pa.RecordBatch:
             found, count = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, np.uint64), np.empty(0, int))
-            told = count >= max(FEW, TOLD * docs // TOGETHER)
+            told = count >= max(2, int(share / 2 * docs))
             return pa.RecordBatch.from_pydict({"shingle": np.append(found[told].astype(np.int64), 0), "n": np.append(count[told], 0).astype(np.int64), "docs": np.append(np.zeros(int(told.sum()), np.int64), docs)})
 
         for batch in batches:
@@ -226,6 +227,7 @@ def sign(common, n: int):
                 yield from _rows((IS_NODE, split((node % np.uint64(n)).astype(np.int64), [doc, node, size])))
             held.clear()
             docs.clear()
+            give_back()
 
         for batch in batches:
             ids = batch.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -245,13 +247,13 @@ def sign(common, n: int):
     return run
 
 
-#: What a shard tells: documents (doc, node, n), candidate pairs (a, b), members (group, node) of groups of three or more.
+#: What a shard tells: documents (doc, node, n), pairs (a, b) of groups of two, members (group, node) of larger groups.
 TOLD_SCHEMA = "kind int, a long, b long, n int"
 IS_DOC, IS_PAIR, IS_MEMBER = range(3)
 
 
 def meet():
-    """From packets to documents, candidate pairs of the least node of each signature with the others, and members."""
+    """From packets to documents, the pairs that alone have a signature in common, and members of larger groups."""
 
     def table_of(kind: int, a: np.ndarray, b: np.ndarray, n: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
         for i in range(0, len(a), 100_000):
@@ -285,36 +287,84 @@ def meet():
         new = group_starts(sig)
         group = np.cumsum(new) - 1
         head = np.flatnonzero(new)
-        hub = node[head][group]
-        pairs = np.column_stack((hub[~new], node[~new]))
-        order = np.lexsort((pairs[:, 1], pairs[:, 0]))
-        pairs = pairs[order]
+        size = np.bincount(group)
+        two = head[size == 2]
+        pairs = np.column_stack((node[two], node[two + 1]))
+        pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
         pairs = pairs[group_starts(pairs[:, 0], pairs[:, 1])] if len(pairs) else pairs
         yield from table_of(IS_PAIR, pairs[:, 0], pairs[:, 1])
-        size = np.bincount(group)
         # groups of equal members are told once
         name = np.add.reduceat(mix(node ^ np.uint64(0x94D049BB133111EB)), head)
         first = np.zeros(len(head), bool)
         first[np.unique(name, return_index=True)[1]] = True
         told = (first & (size > 2))[group]
         yield from table_of(IS_MEMBER, name[group][told], node[told])
+        give_back()
 
     return run
 
 
-def exact_sets(df: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
-    """(node, n, shingles as sorted 48-bit numbers) of the nodes in wanted (doc, node)."""
+#: Bits of the filter that keeps unasked documents out of a shuffle: a fixed number, so it passes more of them as more are asked for.
+BLOOM_SLICES, BLOOM_BITS = 64, 1 << 17
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def asked_only(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """Rows of docs whose `doc` may be in asked; none that is gets lost."""
+    place = lambda df: df.withColumn("_hash", F.xxhash64("doc"))
+    at = place(asked).select(F.pmod("_hash", F.lit(BLOOM_SLICES)).cast("int").alias("slice"), F.pmod(F.shiftright("_hash", 8), F.lit(BLOOM_BITS)).cast("int").alias("bit"))
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slices: dict[int, np.ndarray] = {}
         for batch in batches:
-            nodes = batch.column(0).to_pylist()
-            for i, sets in shingle_sets(batch.column(1)):
-                rows = [(nodes[i + k], len(s), _six(s)) for k, s in enumerate(sets) if np.int64(np.uint64(node_of(s)).astype(np.int64)) == nodes[i + k]]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.binary()))], names=["node", "n", "shingles"])
+            which, bit = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for k in np.unique(which).tolist():
+                slices.setdefault(k, np.zeros(BLOOM_BITS, bool))[bit[which == k]] = True
+        for k, bits in slices.items():
+            yield pa.RecordBatch.from_pydict({"slice": pa.array([k], pa.int32()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+
+    bits = np.zeros((BLOOM_SLICES, BLOOM_BITS), bool)
+    for r in at.repartitionById(min(BLOOM_SLICES, tasks(docs.sparkSession)), F.pmod("slice", F.lit(min(BLOOM_SLICES, tasks(docs.sparkSession))))).mapInArrow(fill, "slice int, bits binary").toLocalIterator():
+        bits[r["slice"]] |= np.unpackbits(np.frombuffer(r["bits"], np.uint8)).astype(bool)
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bits, axis=1))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.unpackbits(shared.value, axis=1).astype(bool)
+        for batch in batches:
+            h = batch.column(batch.schema.get_field_index("_hash")).to_numpy()
+            yield batch.filter(pa.array(known[h % BLOOM_SLICES, (h >> 8) % BLOOM_BITS]))
+
+    hashed = place(docs)
+    return hashed.mapInArrow(keep, hashed.schema).drop("_hash")
+
+
+#: Counts of shingles by hash, for a bound on how far two sets differ: as many counts as LONG for sets larger than MANY.
+SHORT, LONG, MANY = 256, 1024, 500
+#: Sets that a hub is compared with in one place.
+SALT = 4_000
+IS_HUB, IS_OTHER, IS_SKETCH = range(3)
+SHIPPED = "to long, salt int, role int, node long, n int, data binary"
+VERIFIED = "role int, a long, b long, n int, data binary"
 
-    docs = df.select(F.coalesce(F.col(key), F.lit(int(NO_ID)).cast("long")).alias("doc"), F.col(text).alias("text"))
-    return docs.join(wanted, "doc").select("node", "text").mapInArrow(run, "node long, n int, shingles binary").dropDuplicates(["node"])
+
+def sketch(shingles: np.ndarray) -> bytes:
+    width = SHORT if len(shingles) <= MANY else LONG
+    return np.minimum(np.bincount((shingles >> np.uint64(40)).astype(np.int64) & (width - 1), minlength=width), 255).astype(np.uint8).tobytes()
+
+
+def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (node, places, text) to each place's copy of the set, and one sketch."""
+    for batch in batches:
+        nodes, places = batch.column(0).to_pylist(), batch.column(1)
+        for i, sets in shingle_sets(batch.column(2)):
+            rows = []
+            for k, s in enumerate(sets):
+                if np.uint64(node_of(s)).astype(np.int64) != nodes[i + k]:
+                    continue
+                data = _six(s)
+                rows += [(p["to"], p["salt"], p["role"], nodes[i + k], len(s), data) for p in places[i + k].as_py()]
+                rows.append((nodes[i + k], 0, IS_SKETCH, nodes[i + k], len(s), sketch(s)))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary()))], names=["to", "salt", "role", "node", "n", "data"])
 
 
 def _six(values: np.ndarray) -> bytes:
@@ -328,57 +378,123 @@ def _eight(raw: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def verify(numerator: int = NUMERATOR):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b, x, y = (batch.column(i).to_pylist() for i in range(4))
-            kept = []
-            last, known = None, np.empty(0)
-            for i in range(len(a)):
-                if a[i] != last:
-                    last, known = a[i], _eight(x[i])
-                other = _eight(y[i])
-                both = np.intersect1d(known, other, assume_unique=True).size
-                if 100 * both >= numerator * (len(known) + len(other) - both):
-                    kept.append(i)
-            yield pa.RecordBatch.from_pydict({"a": [a[i] for i in kept], "b": [b[i] for i in kept]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
-
-    return run
-
-
-def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets link."""
-    left = sets.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("shingles").alias("y"))
-    sized = pairs.join(right, "b").join(left, "a").where(f"100 * least(n_a, n_b) >= {NUMERATOR} * greatest(n_a, n_b)")
-    return sized.select("a", "b", "x", "y").mapInArrow(verify(), "a long, b long")
+def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From sets sorted by place and role to the links of each hub; sketches pass."""
+    place, hub = None, np.empty(0, np.uint64)
+    for batch in batches:
+        role = batch.column(2).to_numpy()
+        rows: list[tuple] = []
+        to, salt, node, n, data = (batch.column(i) for i in (0, 1, 3, 4, 5))
+        for i in range(len(batch)):
+            if role[i] == IS_SKETCH:
+                rows.append((IS_SKETCH, node[i].as_py(), 0, n[i].as_py(), data[i].as_py()))
+            elif role[i] == IS_HUB:
+                place, hub = (to[i].as_py(), salt[i].as_py()), _eight(data[i].as_py())
+            elif place == (to[i].as_py(), salt[i].as_py()):
+                other = _eight(data[i].as_py())
+                both = np.intersect1d(hub, other, assume_unique=True).size
+                if 100 * both >= NUMERATOR * (len(hub) + len(other) - both):
+                    rows.append((IS_OTHER, place[0], node[i].as_py(), 0, None))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["role", "a", "b", "n", "data"])
+
+
+def verified(df: DataFrame, pairs: DataFrame, nodes: DataFrame, key: str, text: str) -> DataFrame:
+    """Links among distinct pairs (a, b), where many pairs may share an a, and sketches of all their nodes. nodes: (node, doc), a document that has the node's set. A set is sent to each of its hubs once, and a hub's own set to as many places as its partners fill."""
+    n = tasks(df.sparkSession)
+    salts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SALT).cast("int").alias("salts"))
+    others = pairs.join(salts, "a").select(F.col("b").alias("node"), F.col("a").alias("to"), F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.lit(IS_OTHER).alias("role"))
+    hubs = salts.select(F.col("a").alias("node"), F.col("a").alias("to"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(IS_HUB).alias("role"))
+    wanted = others.unionByName(hubs).groupBy("node").agg(F.collect_list(F.struct("to", "salt", "role")).alias("places"))
+    wanted = settle(wanted.join(nodes.select("node", "doc"), "node"))
+    docs = df.select(F.coalesce(F.col(key), F.lit(int(NO_ID)).cast("long")).alias("doc"), F.col(text).alias("text"))
+    # several rows may have the doc's id, and a set's first comer is enough
+    found = asked_only(docs, wanted.select("doc")).join(wanted, "doc").select("node", "places", "text")
+    sent = found.mapInArrow(ship, SHIPPED).repartition(n, "to", "salt").sortWithinPartitions("to", "salt", "role", "node")
+    return settle(sent.mapInArrow(compare, VERIFIED))
+
+
+def near_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From members of groups (group, node, comp, n, data), sorted by group, to the pairs of different components that their sketches don't rule out. The sum of the differences of counts is never above the number of shingles that two sets don't share."""
+    bands = Bands()
+    held: list[pa.RecordBatch] = []
+    asked: set[tuple[int, int]] = set()
+
+    def flush(group: pa.Table) -> Iterator[pa.RecordBatch]:
+        node, comp, n = (group.column(c).to_numpy() for c in ("node", "comp", "n"))
+        order = np.argsort(n, kind="stable")
+        node, comp, n = node[order], comp[order], n[order].astype(np.int64)
+        raw = [group.column("data")[int(i)].as_py() for i in order]
+        counts = np.array([np.frombuffer(r, np.uint8).astype(np.int16).reshape(-1, SHORT).sum(0) for r in raw])
+        wide = {i: np.frombuffer(r, np.uint8).astype(np.int16) for i, r in enumerate(raw) if len(r) == LONG}
+        out: list[tuple[int, int]] = []
+        for i in range(len(node)):
+            # partners that are not smaller, up to the largest that can link
+            top = int(np.searchsorted(n, n[i] * 100 // bands.numerator, "right"))
+            j = np.arange(i + 1, top)
+            j = j[comp[j] != comp[i]]
+            if not len(j):
+                continue
+            most = bands.differ(n[i], n[j])
+            j = j[np.abs(counts[j] - counts[i]).sum(1) <= most]
+            for k in j.tolist():
+                if i in wide and k in wide and np.abs(wide[i] - wide[k]).sum() > bands.differ(n[i], n[k]):
+                    continue
+                pair = (int(min(node[i], node[k])), int(max(node[i], node[k])))
+                if pair not in asked:
+                    asked.add(pair)
+                    out.append(pair)
+        if len(asked) > 200_000:
+            asked.clear()
+        if out:
+            a, b = zip(*out)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    for batch in batches:
+        group = batch.column(batch.schema.get_field_index("group")).to_numpy()
+        cut = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), len(group)]
+        for x, y in zip(cut, cut[1:]):
+            if held and held[-1].column("group")[0].as_py() != group[x]:
+                yield from flush(pa.Table.from_batches(held))
+                held = []
+            if y > x:
+                held.append(batch.slice(x, y - x))
+    if held:
+        yield from flush(pa.Table.from_batches(held))
+    give_back()
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row a document: key, n_shingles, component_id, the least key that its links reach."""
-    spark = df.sparkSession
+    spark = lean(df.sparkSession)
     n = tasks(spark)
     common = spark.sparkContext.broadcast(common_shingles(df, text))
     sent = df.select(F.col(key).cast("long"), text).mapInArrow(sign(common, n), PACKET)
     met = settle(sent.repartitionById(n, "target").mapInArrow(meet(), TOLD_SCHEMA))
     docs = met.where(F.col("kind") == IS_DOC).select(F.col("a").alias("doc"), F.col("b").alias("node"), "n")
-    nodes = docs.where("n > 0").groupBy("node").agg(F.min("doc").alias("doc"), F.first("n").alias("n"))
-    pairs = settle(met.where(F.col("kind") == IS_PAIR).select("a", "b").distinct())
-    members = met.where(F.col("kind") == IS_MEMBER).select(F.col("a").alias("group"), F.col("b").alias("node")).distinct()
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = settle(exact_sets(df, nodes.join(asked, "node").select("doc", "node"), key, text))
-    links = settle(linked(pairs, sets))
+    nodes = settle(docs.where("n > 0").groupBy("node").agg(F.min("doc").alias("doc"), F.first("n").alias("n")))
+    members = settle(met.where(F.col("kind") == IS_MEMBER).select(F.col("a").alias("group"), F.col("b").alias("node")).distinct())
+    # a group's hub is the member that is in most groups: of edited copies, the one that they were made of
+    often = members.groupBy("node").agg(F.count(F.lit(1)).alias("groups"))
+    ranked = members.join(often, "node")
+    hub = ranked.groupBy("group").agg(F.max(F.struct("groups", "node")).getField("node").alias("a"))
+    spokes = members.join(hub, "group").where("a <> node").select("a", F.col("node").alias("b"))
+    pairs = settle(met.where(F.col("kind") == IS_PAIR).select("a", "b").unionByName(spokes).distinct())
+    first = verified(df, pairs, nodes, key, text)
+    links = first.where(F.col("role") == IS_OTHER).select("a", "b")
     label = components(links)
     # members of one signature that are still apart
-    placed = members.join(label, "node", "left").join(sets.select("node", F.col("n").alias("size")), "node").select("group", "node", "size", F.coalesce("comp", "node").alias("comp"))
+    sketches = first.where(F.col("role") == IS_SKETCH).select(F.col("a").alias("node"), "n", "data").dropDuplicates(["node"])
+    placed = members.join(label, "node", "left").select("group", "node", F.coalesce("comp", "node").alias("comp"))
     apart = placed.groupBy("group").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("group")
-    placed = settle(placed.join(apart, "group"))
-    left, right = (placed.select("group", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "size", "comp")]) for s in ("a", "b"))
-    more = left.join(right, "group").where(f"node_a < node_b and comp_a <> comp_b and 100 * least(size_a, size_b) >= {NUMERATOR} * greatest(size_a, size_b)")
-    more = more.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    again = settle(linked(more, sets))
-    if not again.isEmpty():
-        label = components(links.unionByName(again))
+    placed = placed.join(apart, "group").join(sketches, "node").select("group", "node", "comp", "n", "data")
+    more = placed.repartition(n, "group").sortWithinPartitions("group").mapInArrow(near_pairs, "a long, b long").distinct()
+    tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = settle(more.join(tried, ["a", "b"], "left_anti"))
+    if not more.isEmpty():
+        again = verified(df, more, nodes, key, text).where(F.col("role") == IS_OTHER).select("a", "b")
+        if not again.isEmpty():
+            label = components(links.unionByName(again))
     least = nodes.join(label, "node", "left").select("node", "doc", F.coalesce("comp", "node").alias("comp"))
     lowest = least.groupBy("comp").agg(F.min("doc").alias("low"))
     reach = least.join(lowest, "comp").select("node", "low")

@@ -31,7 +31,7 @@ from .blocks import LOWER, Hasher, mix, text_blocks, words
 from .eliasfano import Sequence, encode, padded
 from .packets import gather, split
 from .quality import fold
-from .shared import local_path, shared_folder, table, tasks
+from .shared import lean, local_path, shared_folder, table, tasks
 
 #: Files of each level at most.
 SHARDS = 64
@@ -42,7 +42,7 @@ DISCOUNT = 0.75
 STEP = 1 / 4096
 BLOCK = 4 << 20
 #: Distinct entries that a task holds before it sends them off.
-HELD = 1_500_000
+HELD = 1_000_000
 
 END = mix(np.array([0xE4D], np.uint64))[0]
 PACKET = "target int, blob binary"
@@ -324,7 +324,7 @@ class Model:
 
 def train(df: DataFrame, text: str = "text", least: int = LEAST, discount: float = DISCOUNT) -> Model:
     """A model of all of df's texts."""
-    spark = df.sparkSession
+    spark = lean(df.sparkSession)
     shards = min(SHARDS, tasks(spark))
     texts = df.select(text)
     first = Shelf(spark, "words")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import text_blocks, words
-from .shared import table
+from .shared import lean, table
 
 LENGTHS = (512, 1024, 2048, 4096, 8192)
 #: Documents of a group, about.
@@ -75,6 +75,7 @@ def count_words(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def pack_documents(df: DataFrame, key: str = "doc_id", text: str = "text", lengths: Sequence[int] = LENGTHS) -> DataFrame:
     """One row a piece: the document, the piece's number, first token and tokens, the bin (group, number), its length and the piece's offset in it."""
+    lean(df.sparkSession)
     longest = max(lengths)
     counted = count_words(df, key, text)
     groups = max(1, -(-df.count() // GROUP))

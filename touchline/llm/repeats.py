@@ -30,14 +30,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import BLOCK, Hasher, column_bytes, group_starts, least_in_windows, spans
+from .blocks import BLOCK, Hasher, column_bytes, give_back, group_starts, least_in_windows, spans
 from .packets import gather, split
-from .shared import settle, table, tasks
+from .shared import lean, settle, table, tasks
 
 LEAST = 100
 SEED = 32
 #: Contexts that a task holds before it sends them off.
-HELD = 500_000
+HELD = 300_000
 #: Contexts of one seed from which on its windows are dealt by themselves.
 MANY = 1_000
 #: Bytes of contexts in one suffix array.
@@ -90,6 +90,7 @@ def text_parts(column, least: int) -> Iterator[tuple[int, int, int, np.ndarray,
             for s in range(a, b - least + 1, LONG):
                 e = min(b, s + LONG + least - 1)
                 yield i, j, s - a, data[s:e], np.array([0, e - s])
+    give_back()
 
 
 def maximal_repeats(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, least: int = LEAST) -> Iterator[tuple[int, np.ndarray]]:
@@ -255,6 +256,7 @@ def match_contexts(least: int, n: int, many: int):
         h1 = low1.astype(np.uint64) | high1.astype(np.uint64) << np.uint64(32)
         h2 = low2.astype(np.uint64) | high2.astype(np.uint64) << np.uint64(32)
         order, new, later = _later([h1, h2], doc, tie, at)
+        give_back()
         gone = order[later]
         # the first of each context, for seeds that have several
         kept = order[new]
@@ -401,7 +403,7 @@ def _dealt(df: DataFrame, n: int, key: str, text: str) -> DataFrame:
 
 def repeats(df: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST, seed: int = SEED, many: int = MANY) -> DataFrame:
     """Packets of all repeats, by their document's home; for `joined`."""
-    n = tasks(df.sparkSession)
+    n = tasks(lean(df.sparkSession))
     docs = _dealt(df, n, key, text)
     sent = docs.select("doc", "tie", "text").mapInArrow(find_contexts(least, seed, n), PACKET)
     found = settle(sent.repartitionById(n, "target").mapInArrow(match_contexts(least, n, many), PACKET))
@@ -415,7 +417,7 @@ def repeats(df: DataFrame, key: str = "doc_id", text: str = "text", least: int =
 
 def joined(df: DataFrame, found: DataFrame, cut, schema: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """cut(text bytes, spans) gives a tuple of new columns for each document; spans are its maximal runs of repeated bytes, as an array of (start, end). Columns other than text come first."""
-    n = tasks(df.sparkSession)
+    n = tasks(lean(df.sparkSession))
     docs = _dealt(df, n, key, text)
     null = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in docs.schema}
     packets = found.select("target", "kind", "blob", *[null[c] for c in ("doc", "tie", "text", "row")])

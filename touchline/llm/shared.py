@@ -38,7 +38,20 @@ def settle(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows that go to a Python worker together: texts are long, and a batch is held twice on its way.
+BATCH = 1_000
+
+
+def lean(spark: SparkSession) -> SparkSession:
+    """Hold the batches of Python workers small in this session."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= BATCH:
+        spark.conf.set(name, str(BATCH))
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    lean(spark)
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
