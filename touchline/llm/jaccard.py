@@ -40,7 +40,7 @@ WORDS = 5
 #: Similarity of at least NUMERATOR / 100.
 NUMERATOR = 80
 #: A shingle is common if this share of the documents has it.
-COMMON = 0.002
+COMMON = 0.0005
 #: No shingle of fewer documents is common.
 FEW = 20
 #: Documents whose shingles a task counts together; it reports those that half the share of them have.
@@ -181,7 +181,7 @@ def common_shingles(df: DataFrame, text: str, share: float = COMMON) -> np.ndarr
 
         def flush() -> pa.RecordBatch:
             found, count = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, np.uint64), np.empty(0, int))
-            told = count >= max(2, int(share / 2 * docs))
+            told = count >= max(3, int(share / 2 * docs))
             return pa.RecordBatch.from_pydict({"shingle": np.append(found[told].astype(np.int64), 0), "n": np.append(count[told], 0).astype(np.int64), "docs": np.append(np.zeros(int(told.sum()), np.int64), docs)})
 
         for batch in batches:
@@ -360,21 +360,22 @@ def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for k, s in enumerate(sets):
                 if np.uint64(node_of(s)).astype(np.int64) != nodes[i + k]:
                     continue
-                data = _six(s)
+                data = _five(s)
                 rows += [(p["to"], p["salt"], p["role"], nodes[i + k], len(s), data) for p in places[i + k].as_py()]
                 rows.append((nodes[i + k], 0, IS_SKETCH, nodes[i + k], len(s), sketch(s)))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary()))], names=["to", "salt", "role", "node", "n", "data"])
 
 
-def _six(values: np.ndarray) -> bytes:
-    return np.ascontiguousarray(np.sort(values >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+def _five(values: np.ndarray) -> bytes:
+    """Sorted 40-bit hashes: two sets of a thousand share one by chance in a million pairs."""
+    return np.ascontiguousarray(np.sort(values >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
 
 
 def _eight(raw: bytes) -> np.ndarray:
-    six = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    out = np.zeros((len(six), 8), np.uint8)
-    out[:, :6] = six
+    five = np.frombuffer(raw, np.uint8).reshape(-1, 5)
+    out = np.zeros((len(five), 8), np.uint8)
+    out[:, :5] = five
     return out.view("<u8").ravel()
 
 
@@ -399,13 +400,18 @@ def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["role", "a", "b", "n", "data"])
 
 
-def verified(df: DataFrame, pairs: DataFrame, nodes: DataFrame, key: str, text: str) -> DataFrame:
-    """Links among distinct pairs (a, b), where many pairs may share an a, and sketches of all their nodes. nodes: (node, doc), a document that has the node's set. A set is sent to each of its hubs once, and a hub's own set to as many places as its partners fill."""
+def verified(df: DataFrame, pairs: DataFrame, nodes: DataFrame, key: str, text: str, also: DataFrame | None = None) -> DataFrame:
+    """Links among distinct pairs (a, b), where many pairs may share an a, and sketches of all their nodes. nodes: (node, doc, n), a document that has the node's set, and its size. Sizes alone rule out many pairs. also: (node), further nodes whose sketches are asked for. A set is sent to each of its hubs once, and a hub's own set to as many places as its partners fill."""
     n = tasks(df.sparkSession)
+    sizes = nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"))
+    pairs = pairs.join(sizes, "a").join(sizes.toDF("b", "n_b"), "b").where(f"100 * least(n_a, n_b) >= {NUMERATOR} * greatest(n_a, n_b)").select("a", "b")
     salts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SALT).cast("int").alias("salts"))
     others = pairs.join(salts, "a").select(F.col("b").alias("node"), F.col("a").alias("to"), F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.lit(IS_OTHER).alias("role"))
     hubs = salts.select(F.col("a").alias("node"), F.col("a").alias("to"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(IS_HUB).alias("role"))
-    wanted = others.unionByName(hubs).groupBy("node").agg(F.collect_list(F.struct("to", "salt", "role")).alias("places"))
+    sent_to = others.unionByName(hubs)
+    if also is not None:
+        sent_to = sent_to.unionByName(also.select("node").distinct(), allowMissingColumns=True)
+    wanted = sent_to.groupBy("node").agg(F.filter(F.collect_list(F.struct("to", "salt", "role")), lambda x: x["to"].isNotNull()).alias("places"))
     wanted = settle(wanted.join(nodes.select("node", "doc"), "node"))
     docs = df.select(F.coalesce(F.col(key), F.lit(int(NO_ID)).cast("long")).alias("doc"), F.col(text).alias("text"))
     # several rows may have the doc's id, and a set's first comer is enough
@@ -480,7 +486,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     hub = ranked.groupBy("group").agg(F.max(F.struct("groups", "node")).getField("node").alias("a"))
     spokes = members.join(hub, "group").where("a <> node").select("a", F.col("node").alias("b"))
     pairs = settle(met.where(F.col("kind") == IS_PAIR).select("a", "b").unionByName(spokes).distinct())
-    first = verified(df, pairs, nodes, key, text)
+    first = verified(df, pairs, nodes, key, text, members)
     links = first.where(F.col("role") == IS_OTHER).select("a", "b")
     label = components(links)
     # members of one signature that are still apart

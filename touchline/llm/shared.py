@@ -42,8 +42,14 @@ def settle(df: DataFrame, partition_by: str | None = None) -> DataFrame:
 BATCH = 1_000
 
 
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
 def lean(spark: SparkSession) -> SparkSession:
-    """Hold the batches of Python workers small in this session."""
+    """Hold the batches of Python workers small in this session, and let workers find this package where the driver has it."""
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if ROOT not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([*filter(None, paths), ROOT])
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name, "10000")) <= BATCH:
         spark.conf.set(name, str(BATCH))
