@@ -418,6 +418,13 @@ def test_language_model(spark, sf, documents):
     assert sums["model"] > sums["base"]
 
 
+def test_language_model_without_a_mounted_folder(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(40)
+    mounted = language.score(docs, language.train(docs)).collect()
+    monkeypatch.setattr(language, "local_path", lambda uri: None)
+    assert sorted(language.score(docs, language.train(docs)).collect()) == sorted(mounted)
+
+
 def test_language_model_of_odd_rows(spark, odd):
     rows = language.score(odd, language.train(odd)).collect()
     assert sorted(r["n_tokens"] for r in rows) == [1, 1, 1, 2, 2, 2, 7]

@@ -17,7 +17,6 @@ Rows of equal ids are scored and learnt from one by one; columns other than the
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -100,7 +99,7 @@ def count_words(shards: int):
 
 
 class Shelf:
-    """Where a level's files are: a folder that all workers see, or files that Spark hands to each worker."""
+    """Where a level's files are: in the shared folder. Workers map them there if it is mounted; else Spark hands each worker a copy."""
 
     def __init__(self, spark: SparkSession, level: str):
         self.uri = shared_folder(spark)
@@ -124,13 +123,15 @@ class Shelf:
         """Runs the tasks that put the files, and gives their rows without the data."""
         if self.folder:
             return rows.drop("blob").collect()
-        out = []
-        with tempfile.TemporaryDirectory() as top:
-            for r in rows.toLocalIterator():
-                with open(f"{top}/{r['name']}", "wb") as f:
-                    f.write(r["blob"])
-                spark.sparkContext.addFile(f"{top}/{r['name']}")
-                out.append(r)
+        jvm, out = spark.sparkContext._jvm, []
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for r in rows.toLocalIterator():
+            to = jvm.org.apache.hadoop.fs.Path(f"{self.uri}/{r['name']}")
+            stream = to.getFileSystem(conf).create(to)
+            stream.write(r["blob"])
+            stream.close()
+            spark.sparkContext.addFile(f"{self.uri}/{r['name']}")
+            out.append(r)
         return out
 
     def open(self, name: str) -> np.ndarray:
