@@ -468,6 +468,24 @@ def test_fuzzy_passage_and_odd_rows(spark, odd):
     assert passages.passages(odd).count() == 0 and passages.passages(odd.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("identity", [0.8, 0.85, 0.9])
+def test_passages_of_low_identity(spark, identity):
+    """A brute-force alignment of each pair says which have a passage; all of these are found."""
+    dice = random.Random(int(identity * 100))
+    docs, wanted = [], set()
+    for k in range(60):
+        line = [f"{k}a{i}" for i in range(60)]
+        changed = range(4, 60, round(1 / (1 - identity))) if k % 2 else dice.sample(range(60), round(60 * (1 - identity)))
+        copy = [f"{k}z{i}" if i in set(changed) else w for i, w in enumerate(line)]
+        same = [a == b for a, b in zip(line, copy)]
+        if any(sum(same[i:j]) >= 0.8 * (j - i) for i in range(11) for j in range(i + 50, 61)):
+            wanted.add((1000 + k, k))
+        docs += [(k, line), (1000 + k, [f"{k}q{i}" for i in range(9)] + copy + [f"{k}r{i}" for i in range(9)])]
+    found = passages.passages(spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string")).collect()
+    assert len(wanted) == 60 and {(r["doc_id"], r["source_doc_id"]) for r in found} == wanted
+    assert all(r["n_words"] >= 50 and r["identity"] >= 0.8 for r in found)
+
+
 def test_chains_are_the_best():
     x, y, size = (np.array(c) for c in ([0, 10, 20, 30], [0, 50, 10, 20], [6, 20, 6, 6]))
     assert sorted(map(tuple, passages.chains(x, y, size))) == [(0, 2, 3), (1,)]
