@@ -468,6 +468,16 @@ def test_fuzzy_passage_and_odd_rows(spark, odd):
     assert passages.passages(odd).count() == 0 and passages.passages(odd.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("parts", [1, 12])
+def test_passage_whose_halves_stand_elsewhere(spark, parts):
+    line = [f"a{i}" for i in range(60)]
+    pad = lambda k: [f"{k}{i}" for i in range(70)]
+    docs = [(1, pad("c") + line[:30] + pad("d")), (2, pad("e") + line[30:] + pad("f")), (3, pad("g") + line + pad("h")), (4, pad("i") + line[:30] + pad("j")), (5, pad("k") + line[30:] + pad("l")), (6, pad("m") + line + pad("n"))]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string").repartition(parts)
+    found = {(r["doc_id"], r["source_doc_id"], r["first_word"], r["n_words"]) for r in passages.passages(df).collect()}
+    assert found == {(6, 3, 70, 60)}
+
+
 @pytest.mark.parametrize("identity", [0.8, 0.85, 0.9])
 def test_passages_of_low_identity(spark, identity):
     """A brute-force alignment of each pair says which have a passage; all of these are found."""
