@@ -140,6 +140,16 @@ def test_packing():
     assert packing.pack([]) == ([], [], [])
 
 
+def test_longer_bins_win_and_shrink(monkeypatch):
+    bins, _, lengths = packing.pack([600] * 39)
+    assert lengths == [2048] * 13 and [bins.count(k) for k in range(13)] == [3] * 13
+    opened, choose = [], packing.opening
+    monkeypatch.setattr(packing, "opening", lambda *a: opened.append(choose(*a)) or opened[-1])
+    # the third bin opens for 416 and 288, but 288 lies better beside 736
+    bins, _, lengths = packing.pack([800, 736, 416, 288, 192])
+    assert (bins, opened, lengths) == ([0, 1, 2, 1, 0], [1024, 1024, 1024], [1024, 1024, 512])
+
+
 def test_packed_documents(spark, odd):
     rows = packing.pack_documents(odd.unionByName(spark.createDataFrame([(9, "w " * 20000, "x")], odd.schema))).collect()
     long = sorted((r["piece"], r["first_token"], r["n_tokens"]) for r in rows if r["doc_id"] == 9)

@@ -1,9 +1,10 @@
 """Operator 2: best-fit packing of documents into sequences of several permitted lengths.
 
 A document counts as many tokens as it has words. Documents longer than the longest sequence are cut into pieces of that
-length and a rest. All permitted lengths are weighed together: a new bin opens at the length whose cost, per token that
-it can be expected to hold, is least; a piece goes into the open bin that it fits best; when all pieces lie, each bin
-shrinks to the cheapest length that still holds its contents.
+length and a rest. All permitted lengths are weighed together: a new bin opens at the length whose cost is least per token
+that the waiting pieces would fill it with, each time the largest that fits, counted at the length that it could shrink to;
+a piece goes into the open bin that it fits best; when all pieces lie, each bin shrinks to the cheapest length that still
+holds its contents. A trial leaves out that waiting pieces may fit other open bins better.
 
 Pieces are dealt to groups of bounded size by a hash of their document, and each group is packed by itself, largest piece
 first. No piece is dropped: one without tokens gets a place of length 0. Null texts count as empty. Documents with equal
@@ -13,6 +14,7 @@ ids are packed one by one; ties go by doc_id. An empty table gives no rows.
 from __future__ import annotations
 
 import bisect
+import itertools
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -35,24 +37,39 @@ def cost(length: int) -> float:
     return length * (1 + length / QUADRATIC)
 
 
+def filled(below: Sequence[int], sums: Sequence[int], at: int, length: int) -> int:
+    """Tokens that pieces from `at` on put into an empty bin, each time the largest that fits. below: sizes negated; sums: of the sizes before each."""
+    used = 0
+    while at < len(below) and used < length:
+        end = bisect.bisect_right(sums, sums[at] + length - used) - 1
+        used += sums[end] - sums[at]
+        at = bisect.bisect_left(below, used - length, end)
+    return used
+
+
+def opening(below: Sequence[int], sums: Sequence[int], at: int, lengths: Sequence[int]) -> int:
+    """The length, of ordered ones, at which piece `at` opens a bin."""
+
+    def price(length: int) -> tuple[float, int]:
+        used = filled(below, sums, at, length)
+        return cost(next(x for x in lengths if x >= used)) / max(used, 1), length
+
+    return min((x for x in lengths if x >= -below[at]), key=price)
+
+
 def pack(sizes: Sequence[int], lengths: Sequence[int] = LENGTHS) -> tuple[list[int], list[int], list[int]]:
     """sizes: in falling order, none above the longest length. Returns each piece's bin and offset, and each bin's length after downsizing."""
     lengths = sorted(lengths)
     room: list[tuple[int, int]] = []  # (what is left, bin), ordered
-    opened: list[int] = []
     used: list[int] = []
     bins, offsets = [], []
-    waiting = np.concatenate((np.cumsum(np.asarray(sizes, np.int64)[::-1])[::-1], [0])) if len(sizes) else [0]
+    below, sums = [-x for x in sizes], [0, *itertools.accumulate(sizes)]
     for i, size in enumerate(sizes):
         at = bisect.bisect_left(room, (size, -1))
-        # what is still to come may fill a bin; a bin longer than that is never worth its cost
-        fits = [x for x in lengths if x >= size]
-        best = min(fits, key=lambda x: (cost(x) / min(x, int(waiting[i]) or 1), x))
         if at < len(room):
             left, k = room.pop(at)
         else:
-            k, left = len(opened), best
-            opened.append(best)
+            k, left = len(used), opening(below, sums, i, lengths)
             used.append(0)
         bins.append(k)
         offsets.append(used[k])
