@@ -397,6 +397,14 @@ def test_minimum_cut_is_the_cheapest_labelling():
         assert cost(maintext.minimum_cut(lean, edges)) == pytest.approx(min(map(cost, itertools.product([True, False], repeat=n))))
 
 
+@pytest.mark.parametrize("tag", ["<p title=Bob's>", '<img alt="5" tall">', "<p =\">", "<p title = 'a > b' id=x'y>"])
+def test_main_text_after_stray_quotes(spark, tag):
+    said = "The ferry left at noon, and the whole village came to see it go. It carried grain, letters and two goats."
+    page = f"<article>{tag}<p>{said}</p><p class=\"b\">It didn't return that winter, and nobody spoke of it, as far as we know.</p></article>"
+    ((text,),) = maintext.extract(spark.createDataFrame([(1, page)], "page_id long, html string")).select("text").collect()
+    assert said in text and "that winter" in text and "Bob" not in text and "tall" not in text
+
+
 def test_main_text_of_odd_rows(spark):
     df = spark.createDataFrame([(1, None, "t"), (1, "", "u"), (None, "<p>Hello there, you.", None)], "page_id long, html string, text string")
     assert [r["text"] for r in maintext.extract(df).collect()] == ["", "", "Hello there, you."]

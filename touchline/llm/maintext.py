@@ -25,8 +25,10 @@ from pyspark.sql import types as T
 
 from .shared import table
 
+#: An attribute as browsers read it: a quote delimits only directly after the "=".
+ATTRIBUTE = r"(?:=[^\s/>=]*|[^\s/>=]+)(?:\s*=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|[^\s\"'>][^\s>]*)?)?"
 #: A comment, a declaration, or a tag with its attributes; a "<" that starts none of them is text.
-MARK = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
+MARK = re.compile(rf"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[\s/]+|{ATTRIBUTE})*+)(?:>|\Z)", re.S)
 NAMED = re.compile(r"\b(class|id|role|aria-label|hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 WORD = re.compile(r"[A-Za-z]+")
 BLANK = re.compile(r"\s+")
