@@ -4,7 +4,7 @@ import pytest
 
 from touchline import cli, render
 from touchline.operators import manifest as mani
-from touchline.operators.candidates import MatchOptions, compared, match_candidates, ranked_match_candidates, side, with_canonical_sides
+from touchline.operators.candidates import MatchOptions, compared, match_candidates, match_order, side, with_canonical_sides
 from touchline.operators.catalog import Catalog, CatalogError, Entity, Match, Reference
 from touchline.operators.review import EntityCandidate, Evidence, MatchCandidate, Provenance, ReviewStore
 from touchline.sources import review_file
@@ -201,14 +201,14 @@ def test_manifest_is_applied_once():
 @pytest.mark.parametrize(
     "changes, action, reason",
     [
-        ({"teams": [{"id": 3, "name": "Reds", "provenance": WHO}] * 2}, "invalid", "duplicate canonical team ID 3"),
-        ({"seasons": [{"id": 2, "competition_id": 8, "name": "x", "provenance": WHO}]}, "invalid", "unknown canonical competition 8"),
-        ({"players": [{"id": 9, "name": " ", "provenance": WHO, "age": 3}]}, "invalid", "unsupported field 'age'; field 'name' must not be blank"),
-        ({"players": [{"id": 0, "name": "x"}]}, "invalid", "field 'id' must be a positive integer; missing required provenance"),
-        ({"players": [{"id": 1, "name": "x", "provenance": WHO, "mappings": [{"provider": "W", "provider_id": "1", "provenance": WHO}] * 2}]}, "invalid", "duplicate provider mapping"),
-        ({"players": [{"id": i, "name": "x", "provenance": WHO, "mappings": [{"provider": "W", "provider_id": "1", "provenance": WHO}]} for i in (1, 2)]}, "conflict", "maps to multiple canonical player"),
-        ({"competitions": [{"id": 1, "name": "Cup", "provenance": WHO, "mappings": [{"provider": "W", "provider_id": "1", "provider_match_id": "4", "provenance": WHO}]}]}, "invalid", "only valid for team or player"),
-        ({"matches": [{"id": 5, "season_id": 2, "home_team_id": 3, "away_team_id": 4, "home_score": 1, "provenance": WHO}]}, "invalid", "specified together"),
+        ({"teams": [{"id": 3, "name": "Reds", "provenance": WHO}] * 2}, "invalid", "team 3 is given twice"),
+        ({"seasons": [{"id": 2, "competition_id": 8, "name": "x", "provenance": WHO}]}, "invalid", "season names competition 8, which isn't there"),
+        ({"players": [{"id": 9, "name": " ", "provenance": WHO, "age": 3}]}, "invalid", "unknown key 'age'; 'name' is blank"),
+        ({"players": [{"id": 0, "name": "x"}]}, "invalid", "'id' is not above zero; provenance is missing"),
+        ({"players": [{"id": 1, "name": "x", "provenance": WHO, "mappings": [{"provider": "W", "provider_id": "1", "provenance": WHO}] * 2}]}, "invalid", "gives this mapping twice"),
+        ({"players": [{"id": i, "name": "x", "provenance": WHO, "mappings": [{"provider": "W", "provider_id": "1", "provenance": WHO}]} for i in (1, 2)]}, "conflict", "to several player entries"),
+        ({"competitions": [{"id": 1, "name": "Cup", "provenance": WHO, "mappings": [{"provider": "W", "provider_id": "1", "provider_match_id": "4", "provenance": WHO}]}]}, "invalid", "only teams and players"),
+        ({"matches": [{"id": 5, "season_id": 2, "home_team_id": 3, "away_team_id": 4, "home_score": 1, "provenance": WHO}]}, "invalid", "one score without the other"),
     ],
 )
 def test_manifest_problems_reject_the_batch(changes, action, reason):
@@ -268,7 +268,7 @@ def test_candidates_equal_comparing_all_with_all(spark):
     want = compared(side(left, "l").crossJoin(side(right, "r"))).where("is_candidate and not (l_provider = r_provider and l_id = r_id)").select("l_id", "r_id")
     got = match_candidates(left, right)
     assert sorted(got.select("l_id", "r_id").collect()) == sorted(want.collect()) and got.count() > 0
-    ranked = [(-r["confidence"], r["l_provider"], r["l_id"], r["r_provider"], r["r_id"]) for r in ranked_match_candidates(got).collect()]
+    ranked = [(-r["confidence"], r["l_provider"], r["l_id"], r["r_provider"], r["r_id"]) for r in got.orderBy(*match_order()).collect()]
     assert ranked == sorted(ranked)
 
 

@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from touchline.functions.validation import InvalidEvents
 from touchline.sources import metadata, metrica, statsbomb, store, wyscout
@@ -35,12 +36,12 @@ def test_statsbomb(spark, tmp_path):
     [
         (bomb(location=[121, 3]), "location"),
         (bomb(id=" "), "provider_event_id"),
-        (bomb(id=None), "missing required field 'id'"),
-        (bomb(period="1"), "invalid field 'period'"),
-        (bomb(period=True), "invalid field 'period'"),
-        (bomb(timestamp="00:61:00"), "invalid timestamp"),
-        (bomb(team=[1]), "field 'team' must be an object"),
-        (bomb(location=[1]), "numeric coordinate pair"),
+        (bomb(id=None), "field 'id' is missing"),
+        (bomb(period="1"), "field 'period' has the wrong type"),
+        (bomb(period=True), "field 'period' has the wrong type"),
+        (bomb(timestamp="00:61:00"), "no clock time"),
+        (bomb(team=[1]), "field 'team' is no object"),
+        (bomb(location=[1]), "no pair of numbers"),
         (bomb(second=60), "second must be"),
         ([1], "expected an object"),
     ],
@@ -52,9 +53,9 @@ def test_statsbomb_errors_name_the_event(spark, tmp_path, event, message):
 
 
 def test_json_documents(spark, tmp_path):
-    with pytest.raises(InvalidSource, match="Invalid JSON"):
+    with pytest.raises(InvalidSource, match="is not JSON"):
         statsbomb.load_events(spark, write(tmp_path / "a.json", '[{"id": '), 1)
-    with pytest.raises(InvalidSource, match="must be an array"):
+    with pytest.raises(InvalidSource, match="an array at the top"):
         statsbomb.load_events(spark, write(tmp_path / "b.json", {"id": 1}), 1)
     with pytest.raises(ValueError):
         statsbomb.load_events(spark, write(tmp_path / "c.json", []), 0)
@@ -83,12 +84,13 @@ def test_metrica(spark, tmp_path):
 @pytest.mark.parametrize(
     "rows, message",
     [
-        (["Home,PASS,,3,1,1.0,1,1.0,A,,0,0,0,0"], "row 2: Period must be 1 or 2"),
-        (["Home,PASS,,1,1,1.0,1,1.0,A,,0,0,0,0", "", "Us,PASS,,1,1,1.0,1,1.0,A,,0,0,0,0"], "row 4: Team must be"),
-        (["Home,PASS,,1,1,1.0,1,1.0,A,,0,NaN,0,0"], "both be present or missing"),
-        (["Home,PASS,,1,1,x,1,1.0,A,,0,0,0,0"], "invalid finite number"),
+        (["Home,PASS,,3,1,1.0,1,1.0,A,,0,0,0,0"], "line 2: Period is neither 1 nor 2"),
+        (["Home,PASS,,1,1,1.0,1,1.0,A,,0,0,0,0", "", "Us,PASS,,1,1,1.0,1,1.0,A,,0,0,0,0"], "line 4: Team is neither"),
+        (["Home,PASS,,1,1,1.0,1,1.0,A,,0,NaN,0,0"], "only one is given"),
+        (["Home,PASS,,1,1,x,1,1.0,A,,0,0,0,0"], "is no finite number"),
         (["Home,PASS,,1,1,1.0,1"], "number of fields"),
-        (["Home,,,1,1,1.0,1,1.0,A,,0,0,0,0"], "Type must not be empty"),
+        (["Home,,,1,1,1.0,1,1.0,A,,0,0,0,0"], "Type is empty"),
+        (['Home,PASS,"x,1,1,1.0,1,1.0,A,,0,0,0,0'], "a quoted field has no end"),
     ],
 )
 def test_metrica_errors_name_the_row(spark, tmp_path, rows, message):
@@ -98,21 +100,36 @@ def test_metrica_errors_name_the_row(spark, tmp_path, rows, message):
 
 
 def test_metrica_header(spark, tmp_path):
-    with pytest.raises(InvalidSource, match="missing required column 'End Y'"):
+    with pytest.raises(InvalidSource, match="header lacks 'End Y'"):
         metrica.load_events(spark, write(tmp_path / "m.csv", HEAD.removesuffix(",End Y") + "\n"), 3, "left-to-right")
-    with pytest.raises(InvalidSource, match="unique"):
+    with pytest.raises(InvalidSource, match="repeated"):
         metrica.load_events(spark, write(tmp_path / "n.csv", HEAD + ",Team\n"), 3, "left-to-right")
     with pytest.raises(ValueError, match="direction"):
         metrica.load_events(spark, write(tmp_path / "o.csv", HEAD + "\n"), 3, None)
 
 
+def test_metrica_many_files(spark, tmp_path):
+    """Each file has a header, line numbers and a match of its own; a long file takes no longer per line."""
+    row = "Home,PASS,,1,{i},1.0,1,1.0,A,,0.5,0.5,0.5,0.5"
+    for k, n in ((1, 500), (2, 500), (3, 20_000)):
+        lines = [HEAD, *(row.format(i=i) for i in range(n))]
+        if k == 2:
+            lines = [",".join(reversed(x.split(","))) for x in lines]
+        write(tmp_path / f"game_{k}.csv", "\n\n".join(lines))
+    match = F.regexp_extract("file", r"game_(\d+)", 1).cast("long")
+    events = metrica.load_events(spark, str(tmp_path / "game_*.csv"), match, "left-to-right")
+    got = {r["match_id"]: (r["n"], r["ids"], r["top"]) for r in events.groupBy("match_id").agg(F.count("*").alias("n"), F.count_distinct("provider_event_id").alias("ids"), F.max("_ord").alias("top")).collect()}
+    assert got == {1: (500, 500, 499), 2: (500, 500, 499), 3: (20_000, 20_000, 19_999)}
+    assert events.where("match_id = 2 and _ord = 7").first()["provider_event_id"] == "metrica:2:7:7"
+
+
 def scout(**more):
     return {"id": 177959171, "matchId": 7, "teamId": 1609, "playerId": 25413, "eventName": "Pass", "matchPeriod": "2H", "eventSec": 125.0, "positions": [{"x": 49, "y": 51}, {"x": 31, "y": 78}], "tags": [{"id": 1801}]} | more
 
 
 def test_wyscout(spark, tmp_path):
     rows = [scout(), scout(matchId=8, positions="junk"), scout(playerId=0, matchPeriod="1H", eventSec=2.4175, positions=[{"x": 0, "y": 100}], tags=[{"id": 5}])]
-    a, b = wyscout.load_events(spark, write(tmp_path / "w.json", rows), 7).collect()
+    a, b = wyscout.load_events(spark, write(tmp_path / "w.json", rows), 7).orderBy("_ord").collect()
     assert (a["minute"], a["second"], a["period"], a["timestamp"], a["outcome"], a["player_id"], a["end_y"]) == (47, 5, 2, 125000, "Accurate", 25413, 78.0)
     assert (b["timestamp"], b["minute"], b["player_id"], b["outcome"], b["start_y"], b["end_x"], b["_ord"]) == (2418, 0, None, None, 100.0, None, 2)
     with pytest.raises(ValueError, match="no events of match 123"):

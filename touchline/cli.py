@@ -240,13 +240,13 @@ def _unique_records(spark: SparkSession, o: argparse.Namespace, whole: bool) ->
     return require_agreement(deduplicated(records, keys, ["name", *rest]), keys)
 
 
-def _entity_generate(spark: SparkSession, o: argparse.Namespace, kept: ReviewStore):
+def _entity_generate(spark: SparkSession, o: argparse.Namespace, kept: ReviewStore) -> DataFrame:
     c = kept.catalog
     records = _unique_records(spark, o, whole=False)
     if o.entity != "season" and (bad := records.where(F.col("name").isNull() | (F.trim("name") == "")).first()):
         raise ValueError(f"Blank provider name for '{bad['provider']}:{bad['provider_id']}'")
     found = cand.entity_candidates(records, c.entity_frame(spark, o.entity), c.mapping_frame(spark, o.entity), c.mapping_frame(spark, "competition") if o.entity == "season" else None)
-    return [from_row(r, o.entity, o.input) for r in cand.ranked_entity_candidates(found).collect()]
+    return found
 
 
 def _decide(o: argparse.Namespace) -> Provenance:
@@ -257,12 +257,13 @@ def _reconcile(spark, o: argparse.Namespace) -> str:
     kept = review_file.load(o.review)
     loaded = kept.revision
     if o.action == "generate":
-        sides = [_matches(spark(), getattr(o, f"{s}_provider"), getattr(o, f"{s}_input"), kept.catalog) for s in ("left", "right")]
-        found = [from_pair(r) for r in cand.ranked_match_candidates(cand.match_candidates(*sides)).collect()]
-        ids = kept.add_match_candidates(found)
+        session = spark()
+        found = cand.match_candidates(*(_matches(session, getattr(o, f"{s}_provider"), getattr(o, f"{s}_input"), kept.catalog) for s in ("left", "right")))
+        new = cand.upserted(found, kept.known_matches(session), cand.MATCH_KEYS, cand.match_order()).orderBy("id")
+        ids = kept.add_match_candidates(from_pair(r) for r in new.toLocalIterator())
         if ids:
             review_file.save(o.review, kept, loaded)
-        return render.generated(len(found), ids)
+        return render.generated(found.count(), ids)
     if o.action == "list":
         return render.match_list(kept.match_candidates(o.status))
     if o.action == "inspect":
@@ -308,11 +309,14 @@ def _change(o: argparse.Namespace, kept: ReviewStore):
 def _candidates(spark, o: argparse.Namespace, kept: ReviewStore) -> str:
     loaded = kept.revision
     if o.step == "generate":
-        found = _entity_generate(spark(), o, kept)
-        ids = kept.add_entity_candidates(found)
+        s = spark()
+        found = _entity_generate(s, o, kept)
+        # only what the store doesn't know yet comes to the driver
+        new = cand.upserted(found, kept.known_entities(s, o.entity), cand.ENTITY_KEYS, cand.entity_order()).orderBy("id")
+        ids = kept.add_entity_candidates(from_row(r, o.entity, o.input) for r in new.toLocalIterator())
         if ids:
             review_file.save(o.review, kept, loaded)
-        return render.generated(len(found), ids, entity=True)
+        return render.generated(found.count(), ids, entity=True)
     if o.step == "list":
         return render.entity_list(kept.entity_candidates(o.entity, o.status))
     c = kept._get(kept.entities, o.candidate_id)

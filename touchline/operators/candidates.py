@@ -4,16 +4,20 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import identity_name, is_blank, score_text
+from ..settled import positions
 from .identity import REFERENCE, unresolved
 
 # fixed values: the evidence's weights, in the order in which they are added, and the default tolerances
 WEIGHTS = (("home_team", 0.25), ("away_team", 0.25), ("kickoff", 0.20), ("score", 0.15), ("competition", 0.10), ("season", 0.05))
 AGREE_SECONDS, CONFLICT_SECONDS, LEAST_CONFIDENCE = 300, 86_400, 0.70
+#: What names a candidate.
+ENTITY_KEYS, MATCH_KEYS = [*REFERENCE, "canonical_id"], ["l_provider", "l_id", "r_provider", "r_id"]
 FIELDS = ("competition", "season", "kickoff", "home_team", "away_team", "score")
 
 
@@ -54,9 +58,9 @@ def entity_candidates(records: DataFrame, canonical: DataFrame, mappings: DataFr
     return pairs.select(*REFERENCE, "name", "canonical_id", "canonical_name", F.when(known, "agreeing").otherwise("missing").alias("context"), confidence.cast("double").alias("confidence"))
 
 
-def ranked_entity_candidates(candidates: DataFrame) -> DataFrame:
-    """In the order of review, unscoped references before scoped ones."""
-    return candidates.orderBy("provider", "provider_id", F.asc_nulls_first("provider_match_id"), "canonical_id")
+def entity_order() -> list[str | Column]:
+    """The order of review: unscoped references before scoped ones."""
+    return ["provider", "provider_id", F.asc_nulls_first("provider_match_id"), "canonical_id"]
 
 
 def evidence(status: Column, left: Column, right: Column, canonical: Column) -> Column:
@@ -134,9 +138,9 @@ def match_candidates(left: DataFrame, right: DataFrame, options: MatchOptions =
     return compared(pairs, options).where("is_candidate")
 
 
-def ranked_match_candidates(candidates: DataFrame) -> DataFrame:
+def match_order() -> list[str | Column]:
     """Best first; ties by references, then by source order."""
-    return candidates.orderBy(F.desc("confidence"), "l_provider", "l_id", "r_provider", "r_id", "l__ord", "r__ord")
+    return [F.desc("confidence"), *MATCH_KEYS, "l__ord", "r__ord"]
 
 
 def with_canonical_sides(matches: DataFrame, teams: DataFrame, competitions: DataFrame, seasons: DataFrame) -> DataFrame:
@@ -148,17 +152,16 @@ def with_canonical_sides(matches: DataFrame, teams: DataFrame, competitions: Dat
     return out
 
 
-def upserted(new: DataFrame, existing: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """New candidates whose key isn't known yet, each key once, with ids that follow the greatest one; known ones keep their rows. Ids are dense in `order`; the ranking runs over range-partitioned rows with per-partition counts, not in one task."""
+def upserted(new: DataFrame, existing: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
+    """New candidates whose key isn't known yet, each key once, with ids that follow the greatest one; known ones keep their rows. A null in a key equals a null. Ids are dense in `order`; the ranking runs over range-partitioned rows, not in one task."""
     first = Window.partitionBy(*keys).orderBy(*order)
-    fresh = new.join(existing.select(*keys), keys, "left_anti").withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+    known = existing.select(*[F.col(k).alias(f"_known_{k}") for k in keys])
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_known_{k}")) for k in keys])
+    fresh = new.join(known, same, "left_anti").withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
     return numbered(fresh, order, existing)
 
 
-def numbered(rows: DataFrame, order: list[str], existing: DataFrame) -> DataFrame:
-    sorted_ = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
-    sizes = sorted_.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"), F.min("_at").alias("_low"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+def numbered(rows: DataFrame, order: list[str | Column], existing: DataFrame) -> DataFrame:
+    """Add ids that follow the greatest of `existing`, dense in `order`."""
     top = existing.agg(F.max("id")).first()[0] or 0
-    placed = sorted_.join(before.select("_part", "_low", "_before"), "_part")
-    return placed.withColumn("id", F.lit(top).cast("long") + F.col("_before") + (F.col("_at") - F.col("_low")) + 1).drop("_part", "_at", "_low", "_before")
+    return positions(rows.orderBy(*order), "id").withColumn("id", F.col("id") + F.lit(top).cast("long") + 1)

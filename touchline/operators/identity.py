@@ -46,18 +46,6 @@ def resolve_events(events: DataFrame, match_mappings: DataFrame, team_mappings:
     return out.drop("_match_key", "_team_key", "_team_scope", "_player_key", "_player_scope")
 
 
-def redirected(frame: DataFrame, column: str, aliases: DataFrame) -> DataFrame:
-    """Values of a column replaced by their target in aliases (old_id, new_id); others stay."""
-    a = aliases.select(F.col("old_id").alias("_old"), F.col("new_id").alias("_new"))
-    return frame.join(a, F.col(column) == F.col("_old"), "left").withColumn(column, F.coalesce("_new", column)).drop("_old", "_new")
-
-
-def relabelled(matches: DataFrame, labels: DataFrame, column: str = "competition") -> DataFrame:
-    """Matches whose label is an old name get the new one; labels: (old_name, new_name). A label names no id, so every match that bears it changes."""
-    r = labels.select(F.col("old_name").alias("_old"), F.col("new_name").alias("_new"))
-    return matches.join(r, F.col(column) == F.col("_old"), "left").withColumn(column, F.coalesce("_new", column)).drop("_old", "_new")
-
-
 def deduplicated(records: DataFrame, keys: list[str], payload: list[str], order: str = "_ord") -> DataFrame:
     """One record a key, the first by order, with `conflict`: whether records of the key differ in their payload; a null there is a value."""
     same = F.struct(*payload)

@@ -7,7 +7,9 @@ import time
 from collections.abc import Iterable
 from dataclasses import dataclass, field, replace
 
-from .catalog import DEPRECATED, MERGED, Catalog, CatalogError, Entity, Match, Reference, blank
+from pyspark.sql import DataFrame, SparkSession
+
+from .catalog import DEPRECATED, KINDS, MERGED, Catalog, CatalogError, Entity, Match, Reference, blank
 
 UNRESOLVED, ACCEPTED, REJECTED = "unresolved", "accepted", "rejected"
 MOST = 2**63 - 1
@@ -191,6 +193,14 @@ class ReviewStore:
             ids.append(i)
         return ids
 
+    def known_entities(self, spark: SparkSession, kind: str) -> DataFrame:
+        """Keys and ids of the stored candidates of a kind; ids count over all kinds."""
+        rows = [(*c.reference, c.canonical_id, i) if c.kind == kind else (None, None, None, None, i) for i, c in self.entities.items()]
+        return spark.createDataFrame(rows, "provider string, provider_id string, provider_match_id string, canonical_id long, id long")
+
+    def known_matches(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame([(c.left.provider, c.left.id, c.right.provider, c.right.id, i) for i, c in self.matches.items()], "l_provider string, l_id string, r_provider string, r_id string, id long")
+
     def _get(self, store: dict, id: int):
         if id not in store:
             raise CatalogError(f"unknown candidate {id}")
@@ -254,6 +264,21 @@ class ReviewStore:
 
     # integrity, checked when a store is read
 
+    def _check_change(self, c: Change, bad) -> None:
+        """An audit row against the catalog as it is now: what was added is there, what was mapped leads to its entity, what was deprecated or merged is so still."""
+        entity = self.catalog.find(c.kind, c.canonical_id)
+        bad(c.action not in ("add", "map", "rename", "deprecate", "merge"), f"unknown audit action '{c.action}'")
+        if c.kind == "match":
+            bad(c.action in ("rename", "deprecate", "merge"), "matches have no lifecycle")
+            return
+        if c.action == "map":
+            bad(self.catalog.resolve(c.kind, c.reference) != (entity.merged_into or c.canonical_id), "an audited mapping isn't in the catalog")
+        elif c.action == "deprecate":
+            bad(entity.status != DEPRECATED, "an audited deprecation isn't in the catalog")
+        elif c.action == "merge":
+            into = self.catalog.find(c.kind, c.related_id)
+            bad(into is None or entity.status != MERGED or entity.merged_into != (into.merged_into or c.related_id), "an audited merge isn't in the catalog")
+
     def check(self) -> None:
         bad = lambda condition, message: (_ for _ in ()).throw(CatalogError(message)) if condition else None
         last = 0
@@ -265,6 +290,11 @@ class ReviewStore:
             bad((c.action == "merge") != (c.related_id is not None), "only merges have a related entity")
             c.provenance.check()
             last = c.revision
+            self._check_change(c, bad)
+        living = {(k, e.id): e for k in KINDS[:4] for e in self.catalog.listed(k)}
+        named = {(c.kind, c.canonical_id): c.canonical_name for c in self.changes if c.action in ("add", "rename", "deprecate", "merge")}
+        for key, name in named.items():
+            bad(key in living and living[key].name != name, "an entity's name differs from its last audit row's")
         for store in (self.matches, self.entities):
             bad(len({c.key for c in store.values()}) < len(store), "candidates must be distinct")
             for i, c in store.items():
@@ -279,7 +309,8 @@ class ReviewStore:
         for c in self.entities.values():
             bad(c.status != UNRESOLVED and c.decision is None, "a decision on an entity has its provenance")
             if c.status == ACCEPTED:
-                bad(self.catalog.resolve(c.kind, c.reference) is None, "an accepted candidate's reference must be mapped")
+                mapped, own = self.catalog.resolve(c.kind, c.reference), self.catalog.find(c.kind, c.canonical_id)
+                bad(own is None or mapped != (own.merged_into or c.canonical_id), "an accepted candidate's reference must be mapped to its entity, or to what that was merged into")
 
 
 def from_row(row, kind: str, source: str) -> EntityCandidate:

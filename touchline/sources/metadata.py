@@ -8,13 +8,16 @@ from pyspark.sql import functions as F
 from ..functions.times import epoch_seconds
 from ..functions.validation import require_sound
 from ..schema import ORD
-from .variants import Record, absent, integer, is_kind, records
+from .variants import Record, integer, records
 
 STATSBOMB, WYSCOUT = "StatsBomb", "Wyscout"
 
 
-def _checked(rows: DataFrame, r: Record, provider: str, path: str) -> None:
+def _checked(rows: DataFrame, r: Record, provider: str, path: str) -> DataFrame:
+    """Rows with what the record reads of them, after one job that checks them all."""
+    rows = r.bound(rows)
     require_sound(rows.withColumn("_error", r.error()), "_error", provider + f" metadata file '{path}' record at index {{}}")
+    return rows
 
 
 def _entity(rows: DataFrame, provider: str, key: Column, name: Column, **more: Column) -> DataFrame:
@@ -24,7 +27,7 @@ def _entity(rows: DataFrame, provider: str, key: Column, name: Column, **more: C
 
 def _named(r: Record, path: str, what: str) -> Column:
     name = r.required(path, "string")
-    r.complain(name == "", f"{what} must not be empty")
+    r.complain(name == "", f"{what} is empty")
     return name
 
 
@@ -40,11 +43,11 @@ def statsbomb_matches(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     season, season_name = r.required("$.season.season_id", "bigint"), r.required("$.season.season_name", "string")
     date, clock = r.required("$.match_date", "string"), r.optional("$.kick_off", "string")
     kickoff = epoch_seconds(date, clock)
-    r.complain(clock.isNotNull() & kickoff.isNull(), "invalid date or time field")
+    r.complain(clock.isNotNull() & kickoff.isNull(), "date or time is malformed")
     scores = {s: r.optional(f"$.{s}_score", "int") for s in ("home", "away")}
     for s in scores.values():
-        r.complain(s < 0, "scores must be non-negative")
-    _checked(rows, r, STATSBOMB, path)
+        r.complain(s < 0, "a score is negative")
+    rows = _checked(rows, r, STATSBOMB, path)
     text = lambda c: c.cast("string")
     matches = rows.select(
         F.lit(STATSBOMB).alias("provider"), text(match).alias("id"), text(competition).alias("competition_id"), competition_name.alias("competition_name"), text(season).alias("season_id"), season_name.alias("season_name"),
@@ -64,12 +67,12 @@ def statsbomb_lineups(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     rows = records(spark, path, f"{STATSBOMB} metadata")
     r = Record(F.col("v"))
     team, name = r.required("$.team_id", "bigint"), _named(r, "$.team_name", "team name")
-    r.complain(~F.coalesce(is_kind(F.col("v"), "$.lineup", "ARRAY.*"), F.lit(False)), "field 'lineup' must be an array")
-    _checked(rows, r, STATSBOMB, path)
+    r.complain(~r.is_array("$.lineup"), "field 'lineup' is no array")
+    rows = _checked(rows, r, STATSBOMB, path)
     each = rows.select(ORD, team.cast("string").alias("_team"), F.posexplode(F.try_variant_get("v", "$.lineup", "array<variant>")).alias("_at", "v"))
-    p = Record(F.col("v"))
+    p = Record(F.col("v"), "p")
     player, player_name = p.required("$.player_id", "bigint"), _named(p, "$.player_name", "player_name")
-    _checked(each, p, STATSBOMB, path)
+    each = _checked(each, p, STATSBOMB, path)
     players = _entity(each.withColumn(ORD, F.col(ORD) * 1000 + F.col("_at")), STATSBOMB, player, player_name, current_team=F.col("_team"))
     return {"teams": _entity(rows, STATSBOMB, team, name), "players": players}
 
@@ -78,7 +81,7 @@ def _wyscout_named(spark: SparkSession, path: str, what: str) -> DataFrame:
     rows = records(spark, path, f"{WYSCOUT} metadata")
     r = Record(F.col("v"))
     key, name = r.required("$.wyId", "bigint"), _named(r, "$.name", f"{what} name")
-    _checked(rows, r, WYSCOUT, path)
+    rows = _checked(rows, r, WYSCOUT, path)
     return _entity(rows, WYSCOUT, key, name)
 
 
@@ -93,21 +96,19 @@ def wyscout_teams(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 def wyscout_players(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """Names are the short name, or else first and last name; a current team of null, "null" or 0 is none."""
     rows = records(spark, path, f"{WYSCOUT} metadata")
-    v = F.col("v")
-    r = Record(v)
+    r = Record(F.col("v"))
     key = r.required("$.wyId", "bigint")
-    short = F.nullif(F.when(is_kind(v, "$.shortName", "STRING"), F.try_variant_get(v, "$.shortName", "string")), F.lit(""))
-    parts = [F.when(is_kind(v, f"$.{p}", "STRING"), F.try_variant_get(v, f"$.{p}", "string")) for p in ("firstName", "lastName")]
+    short = F.nullif(r.value("$.shortName", "string"), F.lit(""))
+    parts = [r.value(f"$.{p}", "string") for p in ("firstName", "lastName")]
     for p, c in zip(("firstName", "lastName"), parts):
-        r.complain(short.isNull() & absent(v, f"$.{p}"), f"missing required field '{p}'")
-        r.complain(short.isNull() & c.isNull(), f"invalid field '{p}'")
+        r.complain(short.isNull() & r.absent(f"$.{p}"), f"field '{p}' is missing")
+        r.complain(short.isNull() & c.isNull(), f"field '{p}' has the wrong type")
     full = F.concat_ws(" ", *[F.nullif(c, F.lit("")) for c in parts])
     name = F.coalesce(short, full)
-    r.complain(name == "", "player name must not be empty")
-    word = F.when(is_kind(v, "$.currentTeamId", "STRING"), F.try_variant_get(v, "$.currentTeamId", "string"))
-    team = integer(v, "$.currentTeamId")
-    r.complain(~absent(v, "$.currentTeamId") & team.isNull() & ~F.coalesce(word == "null", F.lit(False)), "invalid field 'currentTeamId'")
-    _checked(rows, r, WYSCOUT, path)
+    r.complain(name == "", "a player's name is empty")
+    word, team = (r.value("$.currentTeamId", t) for t in ("string", "bigint"))
+    r.complain(~r.absent("$.currentTeamId") & team.isNull() & ~F.coalesce(word == "null", F.lit(False)), "field 'currentTeamId' has the wrong type")
+    rows = _checked(rows, r, WYSCOUT, path)
     return {"players": _entity(rows, WYSCOUT, key, name, current_team=F.nullif(team, F.lit(0).cast("long")).cast("string"))}
 
 
@@ -118,18 +119,18 @@ def wyscout_matches(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     r = Record(v)
     match, competition, season = (r.required(f"$.{k}", "bigint").cast("string") for k in ("wyId", "competitionId", "seasonId"))
     date = r.required("$.dateutc", "string")
-    r.complain((F.length(date) != 19) | (F.substring(date, 11, 1) != " "), "dateutc must use YYYY-MM-DD hh:mm:ss")
+    r.complain((F.length(date) != 19) | (F.substring(date, 11, 1) != " "), "dateutc is not of the form YYYY-MM-DD hh:mm:ss")
     kickoff = epoch_seconds(F.substring(date, 1, 10), F.substring(date, 12, 8))
-    r.complain(date.isNotNull() & kickoff.isNull(), "invalid date or time field")
-    r.complain(~F.coalesce(is_kind(v, "$.teamsData", "OBJECT.*"), F.lit(False)), "field 'teamsData' must be an object")
+    r.complain(date.isNotNull() & kickoff.isNull(), "date or time is malformed")
+    r.complain(~r.is_object("$.teamsData"), "field 'teamsData' is no object")
     entries = F.map_entries(F.try_variant_get(v, "$.teamsData", "map<string,variant>"))
-    r.complain(F.exists(entries, lambda e: ~F.schema_of_variant(e["value"]).like("OBJECT<%")), "teamsData entries must be objects")
-    r.complain(F.exists(entries, lambda e: integer(e["value"], "$.teamId").isNull()), "missing required field 'teamId'")
-    r.complain(F.exists(entries, lambda e: e["key"] != integer(e["value"], "$.teamId").cast("string")), "teamsData key does not match teamId")
-    r.complain(F.exists(entries, lambda e: integer(e["value"], "$.score") < 0), "score must be non-negative")
+    r.complain(F.exists(entries, lambda e: ~F.schema_of_variant(e["value"]).like("OBJECT<%")), "a side of teamsData is no object")
+    r.complain(F.exists(entries, lambda e: integer(e["value"], "$.teamId").isNull()), "a side has no teamId")
+    r.complain(F.exists(entries, lambda e: e["key"] != integer(e["value"], "$.teamId").cast("string")), "a side's key differs from its teamId")
+    r.complain(F.exists(entries, lambda e: integer(e["value"], "$.score") < 0), "a score is negative")
     on = lambda s: F.filter(entries, lambda e: F.try_variant_get(e["value"], "$.side", "string") == s)
-    r.complain((F.size(on("home")) != 1) | (F.size(on("away")) != 1) | (F.size(entries) != 2), "teamsData must contain one home team and one away team")
-    _checked(rows, r, WYSCOUT, path)
+    r.complain((F.size(on("home")) != 1) | (F.size(on("away")) != 1) | (F.size(entries) != 2), "teamsData has other sides than one home and one away")
+    rows = _checked(rows, r, WYSCOUT, path)
     one = {s: F.get(on(s), 0) for s in ("home", "away")}
     none = F.lit(None).cast("string")
     matches = rows.select(

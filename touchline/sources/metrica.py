@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,6 +12,7 @@ from ..functions.pitch import METRICA_PITCH, attacks_left, canonical, on_pitch
 from ..functions.text import title_case
 from ..functions.times import split_seconds
 from ..schema import ORD
+from ..settled import settle
 from .statsbomb import finished, match_column
 from .variants import InvalidSource
 
@@ -48,41 +51,61 @@ def split_header(line: str) -> list[str]:
             field = ""
         else:
             field += c
+    if quoted:
+        raise InvalidSource("Metrica header: a quoted name has no end")
     return [*out, field]
 
 
-def load_events(spark: SparkSession, path: str, match_id: int, home_first_half_direction: str | None) -> DataFrame:
-    """All events in file order. Points off the pitch keep their source coordinates and have no canonical ones."""
+def checked_header(line: str, file: str) -> list[str]:
+    names = split_header(line)
+    if len(set(names)) < len(names) or "" in names:
+        raise InvalidSource(f"Metrica file '{file}': header has empty or repeated names")
+    if lacking := [n for n in REQUIRED if n not in names]:
+        raise InvalidSource(f"Metrica file '{file}': header lacks '{lacking[0]}'")
+    return names
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, header, line, index, value) of every line of every file that isn't blank, but for headers; index counts them from 0. A file is read by one task, and its lines are numbered as its array is taken apart."""
+    lines = F.transform(F.split("value", "\n"), lambda v, i: F.struct(i.alias("line"), F.regexp_replace(v, "\r$", "").alias("value")))
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), lines.alias("lines"))
+    body = F.filter(F.slice("lines", 2, F.greatest(F.size("lines") - 1, F.lit(0))), lambda x: x["value"] != "")
+    exploded = whole.select("file", F.get("lines", F.lit(0))["value"].alias("header"), F.posexplode_outer(body).alias("index", "at"))
+    return exploded.select("file", "header", (F.col("at.line") + 1).cast("long").alias("csv_row"), F.col("index").cast("long"), F.col("at.value").alias("value"))
+
+
+def load_events(spark: SparkSession, path: str, match_id: int | Column, home_first_half_direction: str | None) -> DataFrame:
+    """All events in file order. Points off the pitch keep their source coordinates and have no canonical ones. A path may name many files, each with a header of its own; match_id may then be an expression over `file`."""
     if home_first_half_direction not in (LEFT_TO_RIGHT, RIGHT_TO_LEFT):
         raise ValueError("Metrica import requires the home team's first-half direction")
-    text = spark.read.text(path, wholetext=True)
-    lines = text.select(F.posexplode(F.split("value", "\n")).alias("line", "value")).withColumn("value", F.regexp_replace("value", "\r$", ""))
-    head = lines.where("line = 0").first()
-    if head is None or not head["value"]:
-        raise InvalidSource(f"Metrica event file '{path}' is empty")
-    names = split_header(head["value"])
-    if len(set(names)) < len(names) or "" in names:
-        raise InvalidSource("Metrica event at CSV row 1: header names must be non-empty and unique")
-    for name in REQUIRED:
-        if name not in names:
-            raise InvalidSource(f"Metrica event at CSV row 1: missing required column '{name}'")
+    first = F.regexp_replace(F.substring_index("value", "\n", 1), "\r$", "").alias("header")
+    headers = {r["header"]: r["file"] for r in spark.read.text(path, wholetext=True).select(first, F.col("_metadata.file_path").alias("file")).groupBy("header").agg(F.min("file").alias("file")).collect()}
+    if not headers or not all(headers):
+        raise InvalidSource(f"Metrica event file '{headers.get('', path)}' is empty")
+    lines = numbered_lines(spark, path).where(F.col("index").isNotNull())
+    parts = [_events(lines.where(F.col("header") == header), checked_header(header, file), match_id, home_first_half_direction) for header, file in sorted(headers.items())]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _events(lines: DataFrame, names: list[str], match_id: int | Column, home_first_half_direction: str) -> DataFrame:
+    """Events of the files with one header."""
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))] + [T.StructField("_bad", T.StringType())])
-    body = lines.where("line > 0 and value <> ''").withColumn("row", F.from_csv("value", schema.simpleString()[7:-1].replace(":", " "), {"escape": '"', "columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"}))
-    # an event's rank is its line's among those that aren't blank; the array keeps that rank without a sort in one task
-    ranks = text.select(F.posexplode(F.filter(F.sequence(F.lit(1), F.greatest(F.size(F.split("value", "\n")) - 1, F.lit(1))), lambda i: F.regexp_replace(F.coalesce(F.get(F.split("value", "\n"), i), F.lit("")), "\r$", "") != "")).alias("at", "line"))
-    rows = body.join(ranks, "line").select((F.col("line") + 1).alias("csv_row"), F.col("at").cast("long").alias("index"), F.col("line").cast("long").alias(ORD), "row")
+    parsed = F.from_csv("value", schema.simpleString()[7:-1].replace(":", " "), {"escape": '"', "columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"})
+    # each line is parsed once: the optimizer would parse it anew for each field that is read of it
+    rows = settle(lines.select("file", F.col("csv_row").alias(ORD), "index", "value", parsed.alias("row")))
     get = lambda name: F.col(f"row.c{names.index(name)}")
     errors: list[Column] = []
     complain = lambda condition, message: errors.append(F.when(F.coalesce(condition, F.lit(False)), F.lit(message)))
+    complain(F.length(F.translate("value", '"', "")) % 2 != F.length("value") % 2, "a quoted field has no end")
     complain(F.col("row._bad").isNotNull(), "the number of fields differs from the header's")
     period, team = get("Period").try_cast("int"), get("Team")
-    complain(~F.coalesce(get("Period").rlike(r"^-?\d+$"), F.lit(False)) | period.isNull(), "invalid integer in column 'Period'")
-    complain(~period.isin(1, 2), "Period must be 1 or 2")
-    complain(team.isNull() | ~team.isin("Home", "Away"), "Team must be 'Home' or 'Away'")
+    complain(~F.coalesce(get("Period").rlike(r"^-?\d+$"), F.lit(False)) | period.isNull(), "'Period' is no integer")
+    complain(~period.isin(1, 2), "Period is neither 1 nor 2")
+    complain(team.isNull() | ~team.isin("Home", "Away"), "Team is neither 'Home' nor 'Away'")
     seconds = get("Start Time [s]").try_cast("double")
-    complain(seconds.isNull() | F.isnan(seconds) | (F.abs(seconds) == float("inf")), "invalid finite number in column 'Start Time [s]'")
-    complain(seconds < 0, "Start Time [s] must not be negative")
-    complain(get("Type").isNull() | (get("Type") == ""), "Type must not be empty")
+    complain(seconds.isNull() | F.isnan(seconds) | (F.abs(seconds) == float("inf")), "'Start Time [s]' is no finite number")
+    complain(seconds < 0, "Start Time [s] is negative")
+    complain(get("Type").isNull() | (get("Type") == ""), "Type is empty")
     millis, minute, second = split_seconds(seconds)
     some = lambda c: F.nullif(c, F.lit(""))
     fields = {
@@ -101,12 +124,12 @@ def load_events(spark: SparkSession, path: str, match_id: int, home_first_half_d
     left = attacks_left(team, period, F.lit(home_first_half_direction == LEFT_TO_RIGHT))
     for point, (x_name, y_name) in {"start": ("Start X", "Start Y"), "end": ("End X", "End Y")}.items():
         x, y = coordinate_number(get(x_name)), coordinate_number(get(y_name))
-        complain(missing(get(x_name)) != missing(get(y_name)), f"coordinate columns '{x_name}' and '{y_name}' must both be present or missing")
+        complain(missing(get(x_name)) != missing(get(y_name)), f"of '{x_name}' and '{y_name}' only one is given")
         for name, value in ((x_name, x), (y_name, y)):
-            complain(~missing(get(name)) & (value.isNull() | F.isnan(value) | (F.abs(value) == float("inf"))), f"invalid finite number in column '{name}'")
+            complain(~missing(get(name)) & (value.isNull() | F.isnan(value) | (F.abs(value) == float("inf"))), f"'{name}' is no finite number")
         nx, ny = canonical(x, y, *METRICA_PITCH, left)
         inside = on_pitch(x, y, *METRICA_PITCH)
         fields |= {f"source_{point}_x": x, f"source_{point}_y": y, f"{point}_x": F.when(inside, nx), f"{point}_y": F.when(inside, ny)}
     # errors name the line in the file, counted from 1 with the header
-    out = finished(rows.withColumn(ORD, F.col("csv_row").cast("long")), fields, F.coalesce(*errors, F.lit(None).cast("string")), PROVIDER + " event at CSV row {}")
+    out = finished(rows, fields, F.coalesce(*errors, F.lit(None).cast("string")), PROVIDER + " event on line {}")
     return out.withColumn(ORD, F.element_at(F.split("provider_event_id", ":"), -1).cast("long"))

@@ -41,7 +41,7 @@ def load_events(spark: SparkSession, path: str, match_id: int | Column) -> DataF
     clock = r.required("$.timestamp", "string")
     fields = {"provider_event_id": r.required("$.id", "string"), "match_id": match_column(match_id), "period": r.required("$.period", "int")}
     fields["timestamp"] = clock_millis(clock)
-    r.complain(clock.isNotNull() & fields["timestamp"].isNull(), F.concat(F.lit("invalid timestamp '"), clock, F.lit("'")))
+    r.complain(clock.isNotNull() & fields["timestamp"].isNull(), F.concat(F.lit("no clock time: '"), clock, F.lit("'")))
     fields |= {"minute": r.required("$.minute", "int"), "second": r.required("$.second", "int"), "possession_id": r.optional("$.possession", "bigint")}
     for who in ("team", "player"):
         r.object(f"$.{who}")
@@ -58,8 +58,8 @@ def load_events(spark: SparkSession, path: str, match_id: int | Column) -> DataF
     points["end"] = tuple(F.coalesce(*[e[i] for e in ends]) for i in (0, 1))
     for name, (x, y) in points.items():
         field = "location" if name == "start" else "end_location"
-        r.complain(~on_pitch(x, y, *STATSBOMB_PITCH), f"invalid coordinate field '{field}': it lies outside the pitch")
+        r.complain(~on_pitch(x, y, *STATSBOMB_PITCH), f"'{field}' lies outside the pitch")
         nx, ny = canonical(x, y, *STATSBOMB_PITCH)
         fields |= {f"source_{name}_x": x, f"source_{name}_y": y, f"{name}_x": nx, f"{name}_y": ny}
     fields["provider"] = F.lit(PROVIDER)
-    return finished(rows, fields, r.error(), PROVIDER + " event at index {}")
+    return finished(r.bound(rows), fields, r.error(), PROVIDER + " event at index {}")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import ORD
+from ..settled import settle
 
 
 class InvalidSource(ValueError):
@@ -20,75 +21,93 @@ def kind(v: Column, path: str) -> Column:
     return F.schema_of_variant(F.try_variant_get(v, path, "variant"))
 
 
-def absent(v: Column, path: str) -> Column:
-    k = kind(v, path)
-    return k.isNull() | (k == "VOID")
+def is_number(k: Column) -> Column:
+    return k.isin("BIGINT", "DOUBLE", "FLOAT") | k.startswith("DECIMAL")
 
 
-_NUMBER = "BIGINT|DECIMAL.*|DOUBLE|FLOAT"
-_KINDS = {"int": _NUMBER, "bigint": _NUMBER, "double": _NUMBER, "string": "STRING"}
-
-
-def is_kind(v: Column, path: str, pattern: str) -> Column:
-    return kind(v, path).rlike(f"^({pattern})$")
+_KINDS = {"int": is_number, "bigint": is_number, "double": is_number, "string": lambda k: k == "STRING"}
 
 
 def integer(v: Column, path: str) -> Column:
     """A number as a long, fractions dropped; null for anything else."""
-    return F.when(is_kind(v, path, _NUMBER), F.try_variant_get(v, path, "bigint"))
+    return F.when(is_number(kind(v, path)), F.try_variant_get(v, path, "bigint"))
 
 
 class Record:
-    """Reads of one variant column, with the complaints that they make."""
+    """Reads of one variant column, with the complaints that they make.
+
+    What is read of a path becomes a column, its kind first and then its value, so that the many expressions that use it
+    neither look it up nor compile it again. `bound` adds these columns to the rows; `name` tells records of one frame apart.
+    """
 
-    def __init__(self, v: Column):
-        self.v = v
+    def __init__(self, v: Column, name: str = "r"):
+        self.v, self.name = v, name
         self.errors: list[Column] = []
-        self.complain(~is_kind(v, "$", "OBJECT.*"), "expected an object")
+        self.levels: tuple[dict[str, Column], dict[str, Column]] = ({}, {})
+        self.complain(~self.is_object("$"), "expected an object")
+
+    def bound(self, rows: DataFrame) -> DataFrame:
+        for level in self.levels:
+            rows = rows.withColumns(level) if level else rows
+        return rows
+
+    def kind(self, path: str) -> Column:
+        name = f"_{self.name}_kind_{path}"
+        self.levels[0].setdefault(name, kind(self.v, path))
+        return F.col(f"`{name}`")
+
+    def value(self, path: str, type_: str) -> Column:
+        """The value, null where it has another kind."""
+        name = f"_{self.name}_{type_}_{path}"
+        self.levels[1].setdefault(name, F.when(_KINDS[type_](self.kind(path)), F.try_variant_get(self.v, path, type_)))
+        return F.col(f"`{name}`")
+
+    def absent(self, path: str) -> Column:
+        return self.kind(path).isNull() | (self.kind(path) == "VOID")
+
+    def is_object(self, path: str) -> Column:
+        return F.coalesce(self.kind(path).startswith("OBJECT"), F.lit(False))
+
+    def is_array(self, path: str) -> Column:
+        return F.coalesce(self.kind(path).startswith("ARRAY"), F.lit(False))
 
     def complain(self, condition: Column, text: str | Column) -> None:
         self.errors.append(F.when(F.coalesce(condition, F.lit(False)), F.lit(text) if isinstance(text, str) else text))
 
-    def _get(self, path: str, type_: str) -> Column:
-        return F.when(is_kind(self.v, path, _KINDS[type_]), F.try_variant_get(self.v, path, type_))
-
     def required(self, path: str, type_: str) -> Column:
-        name = path.rpartition(".")[2]
-        self.complain(absent(self.v, path), f"missing required field '{name}'")
-        return self._checked(path, type_, f"invalid field '{name}'")
+        self.complain(self.absent(path), f"field '{path.rpartition('.')[2]}' is missing")
+        return self.optional(path, type_)
 
     def optional(self, path: str, type_: str) -> Column:
-        return self._checked(path, type_, f"invalid optional field '{path.rpartition('.')[2]}'")
-
-    def _checked(self, path: str, type_: str, text: str) -> Column:
-        value = self._get(path, type_)
-        self.complain(~absent(self.v, path) & value.isNull(), text)
+        value = self.value(path, type_)
+        self.complain(~self.absent(path) & value.isNull(), f"field '{path.rpartition('.')[2]}' has the wrong type")
         return value
 
     def object(self, path: str, required: bool = False) -> None:
         name = path.rpartition(".")[2]
         if required:
-            self.complain(absent(self.v, path), f"missing required field '{name}'")
-        self.complain(~absent(self.v, path) & ~is_kind(self.v, path, "OBJECT.*"), f"field '{name}' must be an object")
+            self.complain(self.absent(path), f"field '{name}' is missing")
+        self.complain(~self.absent(path) & ~self.is_object(path), f"field '{name}' is no object")
 
     def point(self, path: str) -> tuple[Column, Column]:
         """The first two numbers of an array, or nulls if there is none."""
-        numbers = is_kind(self.v, path, "ARRAY.*") & is_kind(self.v, f"{path}[0]", _NUMBER) & is_kind(self.v, f"{path}[1]", _NUMBER)
-        self.complain(~absent(self.v, path) & ~F.coalesce(numbers, F.lit(False)), f"field '{path.rpartition('.')[2]}' must be a numeric coordinate pair")
-        return tuple(F.when(numbers, F.try_variant_get(self.v, f"{path}[{i}]", "double")) for i in (0, 1))
+        x, y = (self.value(f"{path}[{i}]", "double") for i in (0, 1))
+        numbers = self.is_array(path) & x.isNotNull() & y.isNotNull()
+        self.complain(~self.absent(path) & ~numbers, f"field '{path.rpartition('.')[2]}' is no pair of numbers")
+        return F.when(numbers, x), F.when(numbers, y)
 
     def error(self, *more: Column) -> Column:
         return F.coalesce(*self.errors, *more, F.lit(None).cast("string"))
 
 
 def records(spark: SparkSession, path: str, what: str) -> DataFrame:
-    """The elements of a JSON array as (_ord, v, file). A path may name many files; each is an array of its own, and is read by one task."""
+    """The elements of a JSON array as (file, _ord, v). A path may name many files; each is an array of its own, and is read by one task. Files are parsed once: checks and results read the parsed elements from a shared table."""
     documents = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.try_parse_json("value").alias("doc"))
-    malformed = F.when(F.col("doc").isNull(), F.col("file"))
-    other = F.when(~F.schema_of_variant("doc").like("ARRAY<%"), F.col("file"))
-    first = documents.select(F.min(malformed).alias("malformed"), F.min(other).alias("other")).first()
-    if first["malformed"] is not None:
-        raise InvalidSource(f"Invalid JSON in {what} file '{first['malformed']}'")
-    if first["other"] is not None:
-        raise InvalidSource(f"Invalid {what} file '{first['other']}': top-level JSON must be an array")
-    return spark.sql(f"select file, pos as {ORD}, value as v from {{documents}}, lateral variant_explode(doc)", documents=documents).withColumn(ORD, F.col(ORD).cast("long"))
+    documents = documents.withColumn("_shape", F.when(F.col("doc").isNull(), "malformed").when(~F.schema_of_variant("doc").like("ARRAY<%"), "other"))
+    found = settle(spark.sql(f"select file, _shape, cast(pos as bigint) as {ORD}, value as v from {{documents}}, lateral variant_explode_outer(doc)", documents=documents))
+    first = found.where("_shape is not null").groupBy().pivot("_shape", ["malformed", "other"]).agg(F.min("file")).first()
+    if first is not None and first["malformed"] is not None:
+        raise InvalidSource(f"{what} file '{first['malformed']}' is not JSON")
+    if first is not None and first["other"] is not None:
+        raise InvalidSource(f"{what} file '{first['other']}': expected an array at the top")
+    return found.where(f"{ORD} is not null").drop("_shape")

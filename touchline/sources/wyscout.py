@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.pitch import WYSCOUT_PITCH, on_pitch
 from ..functions.times import split_seconds, wyscout_period
 from ..functions.validation import require_sound
-from ..schema import ORD
 from .statsbomb import finished, match_column
-from .variants import Record, absent, integer, is_kind, records
+from .variants import Record, integer, records
 
 PROVIDER = "Wyscout"
 # fixed value: the tag of an accurate event
@@ -26,8 +25,9 @@ def load_events(spark: SparkSession, path: str, match_id: int) -> DataFrame:
     """The events of one match in array order. Every element must be an object with a matchId; only the match's own are read further. No event of the match is an error."""
     wanted = match_column(match_id)
     rows = records(spark, path, f"{PROVIDER} event")
-    own = Record(F.col("v"))
-    rows = rows.withColumn("_match", own.required("$.matchId", "bigint"))
+    own = Record(F.col("v"), "own")
+    match = own.required("$.matchId", "bigint")
+    rows = own.bound(rows).withColumn("_match", match)
     require_sound(rows.withColumn("_error", own.error()), "_error", PROVIDER + " event at index {}")
     rows = rows.where(F.col("_match") == wanted)
     if rows.isEmpty():
@@ -36,11 +36,11 @@ def load_events(spark: SparkSession, path: str, match_id: int) -> DataFrame:
     r = Record(v)
     name = r.required("$.matchPeriod", "string")
     period, offset = wyscout_period(name)
-    r.complain(name.isNotNull() & period.isNull(), F.concat(F.lit("unsupported matchPeriod '"), name, F.lit("'")))
+    r.complain(name.isNotNull() & period.isNull(), F.concat(F.lit("unknown matchPeriod '"), name, F.lit("'")))
     seconds = r.required("$.eventSec", "double")
-    r.complain(F.isnan(seconds) | (seconds < 0) | (seconds == float("inf")), "eventSec must be a finite non-negative number")
-    r.complain(~F.coalesce(is_kind(v, "$.positions", "ARRAY.*"), F.lit(False)), "field 'positions' must be an array")
-    r.complain(~absent(v, "$.positions[2]"), "field 'positions' must contain at most two coordinates")
+    r.complain(F.isnan(seconds) | (seconds < 0) | (seconds == float("inf")), "eventSec is negative or not finite")
+    r.complain(~r.is_array("$.positions"), "field 'positions' is no array")
+    r.complain(~r.absent("$.positions[2]"), "more than two positions")
     millis, minute, second = split_seconds(seconds, offset)
     player = r.required("$.playerId", "bigint")
     fields = {
@@ -56,16 +56,16 @@ def load_events(spark: SparkSession, path: str, match_id: int) -> DataFrame:
         "provider": F.lit(PROVIDER),
     }
     tags = F.try_variant_get(v, "$.tags", "array<variant>")
-    r.complain(~absent(v, "$.tags") & ~is_kind(v, "$.tags", "ARRAY.*"), "field 'tags' must be an array")
-    r.complain(F.exists(tags, lambda t: ~F.schema_of_variant(t).like("OBJECT<%")), "tags entries must be objects")
-    r.complain(F.exists(tags, lambda t: integer(t, "$.id").isNull()), "missing required field 'id'")
+    r.complain(~r.absent("$.tags") & ~r.is_array("$.tags"), "field 'tags' is no array")
+    r.complain(F.exists(tags, lambda t: ~F.schema_of_variant(t).like("OBJECT<%")), "a tag is no object")
+    r.complain(F.exists(tags, lambda t: integer(t, "$.id").isNull()), "a tag has no id")
     fields["outcome"] = tag_outcome(F.transform(tags, lambda t: integer(t, "$.id")))
     for i, point in enumerate(("start", "end")):
         there = f"$.positions[{i}]"
-        r.complain(~F.try_variant_get(v, there, "variant").isNull() & ~is_kind(v, there, "OBJECT.*"), "positions entries must be objects")
-        inside = is_kind(v, there, "OBJECT.*")
+        r.complain(r.kind(there).isNotNull() & ~r.is_object(there), "a position is no object")
+        inside = r.is_object(there)
         x, y = (F.when(inside, r.optional(f"{there}.{axis}", "double")) for axis in "xy")
-        r.complain(inside & (x.isNull() | y.isNull()), "missing required field 'x' or 'y'")
-        r.complain(~on_pitch(x, y, *WYSCOUT_PITCH), "invalid positions coordinate: it lies outside the pitch")
+        r.complain(inside & (x.isNull() | y.isNull()), "a position lacks x or y")
+        r.complain(~on_pitch(x, y, *WYSCOUT_PITCH), "a position lies outside the pitch")
         fields |= {f"source_{point}_x": x, f"source_{point}_y": y, f"{point}_x": x, f"{point}_y": y}
-    return finished(rows, fields, r.error(), PROVIDER + " event at index {}").orderBy(ORD)
+    return finished(r.bound(rows), fields, r.error(), PROVIDER + " event at index {}")

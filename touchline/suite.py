@@ -15,10 +15,10 @@ from .functions import pitch, text, times, validation
 from .operators import candidates as cand
 from .operators import coverage as cov
 from .operators import identity as ident
-from .operators import manifest_plan as plan
 from .plans.language import aggregation_query, event_query
-from .plans.query import AggregationQuery, Aggregate, Equals, EventQuery, aggregate, counters, matching, project
+from .plans.query import Equals, EventQuery, aggregate, counters, matching, project
 from .schema import ORD
+from .settled import positions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -100,11 +100,9 @@ def p2_null_never_matches(spark, sf):
     return matching(football(spark, sf), [Equals("player_id", 3)]).agg(F.count(F.lit(1)).alias("n"), F.count("player_id").alias("with_player"))
 
 
-@query(FE + "select provider_event_id, start_x, team_name, row_number() over (order by _ord) as place from fe where provider = 'Metrica'")
+@query(FE + "select provider_event_id, start_x, team_name, row_number() over (order by _ord) - 1 as place from fe where provider = 'Metrica'")
 def p3_project_ordered(spark, sf):
-    rows = matching(football(spark, sf), [Equals("provider", "Metrica")])
-    ordered = cand.numbered(rows.select("provider_event_id", "start_x", "team_name", ORD), [ORD], rows.select(F.lit(0).cast("long").alias("id")).limit(0))
-    return ordered.select("provider_event_id", "start_x", "team_name", F.col("id").alias("place"))
+    return positions(project(football(spark, sf), EventQuery(["provider_event_id", "start_x", "team_name"], [Equals("provider", "Metrica")])), "place")
 
 
 @query(FE + "select provider_event_id, timestamp, minute from fe where timestamp = 500000")
@@ -169,24 +167,24 @@ def a12_filter_then_group(spark, sf):
     return _all(football(spark, sf), "team_name", ["provider=Wyscout"])
 
 
-@query("select l_returnflag, cast(sum(l_linenumber) as bigint) as s, min(l_linenumber) as lo, max(l_extendedprice) as hi, min(l_linestatus) as st, max(l_orderkey) as k from lineitem group by l_returnflag")
+@query(FE + "select period, count(possession_id) as n_ids, min(team_name) as least_text, max(player_name) as greatest_text, min(timestamp) as least_time, max(end_y) as greatest_number, cast(sum(second) as bigint) as sum_int from fe group by period")
 def a3_a6_a7_types(spark, sf):
-    return table(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.sum("l_linenumber").alias("s"), F.min("l_linenumber").alias("lo"), F.max("l_extendedprice").alias("hi"), F.min("l_linestatus").alias("st"), F.max("l_orderkey").alias("k"))
+    calls = ["count(possession_id)", "min(team_name)", "max(player_name)", "min(timestamp)", "max(end_y)", "sum(second)"]
+    return renamed(aggregate(football(spark, sf), aggregation_query(calls, "period")), "period", "n_ids", "least_text", "greatest_text", "least_time", "greatest_number", "sum_int")
 
 
-@query(FE + "select team_name, count(*) as n, row_number() over (order by min(_ord)) as place from fe group by team_name")
+@query(FE + "select team_name, count(*) as n, row_number() over (order by min(_ord)) - 1 as place from fe group by team_name")
 def a9_first_seen(spark, sf):
-    """The order of first appearance, as a rank."""
-    out = football(spark, sf).groupBy("team_name").agg(F.count(F.lit(1)).alias("n"), F.min(ORD).alias("_first"))
-    ranked = cand.numbered(out, ["_first"], out.select(F.lit(0).cast("long").alias("id")).limit(0))
-    return ranked.select("team_name", "n", F.col("id").alias("place"))
+    """The order of first appearance that `aggregate` returns groups in."""
+    return positions(renamed(aggregate(football(spark, sf), aggregation_query(["count(*)"], "team_name")), "team_name", "n"), "place")
 
 
-@query(FE + 'select \'count(*)\' as a, \'avg(start_x)\' as b, \'event_type\' as c')
+@query(FE + ", g as (select event_type, count(*) as n, max(team_id) as top from fe group by event_type) select 0 as spot, 'event_type' as name, event_type as value from g union all select 1, 'count(*)', cast(n as varchar) from g union all select 2, 'max(team_id)', cast(top as varchar) from g")
 def a14_names(spark, sf):
-    q = AggregationQuery([Aggregate("count"), Aggregate("avg", "start_x")], ["event_type"])
-    names = aggregate(football(spark, sf), q).columns
-    return spark.range(1).select(F.lit(names[1]).alias("a"), F.lit(names[2]).alias("b"), F.lit(names[0]).alias("c"))
+    """Names and values of a result's columns, in their order."""
+    out = aggregate(football(spark, sf), aggregation_query(["count(*)", "max(team_id)"], "event_type"))
+    cells = F.array(*[F.struct(F.lit(i).alias("spot"), F.lit(c).alias("name"), F.col(f"`{c}`").cast("string").alias("value")) for i, c in enumerate(out.columns)])
+    return out.select(F.inline(cells))
 
 
 @query(FE + 'select count(*) as "rows", count(*) filter (where player_id is not null or player_name is not null) as player_data, count(start_x) as start_locations, count(end_x) as end_locations from fe')
@@ -256,20 +254,12 @@ def f9_metrica_id(spark, sf):
     return table(spark, sf, "events").select("event_id", event_identifier(F.col("event_id") % 40 + 1, (F.col("event_id") * 3).cast("string"), F.col("event_id")).alias("id"))
 
 
-@query(
-    """select event_id, coalesce(case when event_id % 2 = 0 then 'pass' end, case when event_id % 3 = 0 then 'shot' end, case when event_id % 5 = 0 then 'duel' end) as outcome from events"""
-)
-def f10_f11_first_present(spark, sf):
-    i = F.col("event_id")
-    return table(spark, sf, "events").select("event_id", F.coalesce(*[F.when(i % n == 0, name) for n, name in ((2, "pass"), (3, "shot"), (5, "duel"))]).alias("outcome"))
-
-
-@query("select p_partkey, case when list_contains(string_split(p_name, ' '), string_split(p_name, ' ')[1]) and p_partkey % 3 = 0 then 'Accurate' end as outcome, nullif(p_partkey % 4, 0) as player from part")
-def f12_f13_tags(spark, sf):
+@query("select p_partkey, case when p_partkey % 3 = 0 then 'Accurate' end as outcome from part")
+def f12_tags(spark, sf):
     from .sources.wyscout import ACCURATE, tag_outcome
 
     tags = F.array(F.struct(F.when(F.col("p_partkey") % 3 == 0, ACCURATE).otherwise(1).alias("id")), F.struct(F.lit(2).alias("id")))
-    return table(spark, sf, "part").select("p_partkey", tag_outcome(F.transform(tags, lambda t: t["id"])).alias("outcome"), F.nullif(F.col("p_partkey") % 4, F.lit(0)).alias("player"))
+    return table(spark, sf, "part").select("p_partkey", tag_outcome(F.transform(tags, lambda t: t["id"])).alias("outcome"))
 
 
 @query("select event_id, case when event_id % 4 = 0 then null else value end as x from events")
@@ -326,9 +316,9 @@ def v1_v4_validation(spark, sf):
 # ---- identities ----
 
 MAPPINGS = {
-    "match": "select 'StatsBomb' as provider, cast(c_custkey as {s}) as provider_id, cast(null as {s}) as provider_match_id, c_custkey * 10 as canonical_id from customer where c_custkey <= 30",
-    "team": "select case c_custkey % 3 when 0 then 'StatsBomb' when 1 then 'Metrica' else 'Wyscout' end as provider, cast(c_custkey as {s}) as provider_id, cast(null as {s}) as provider_match_id, c_custkey + 1000 as canonical_id from customer where c_custkey <= 15 union all select 'Metrica', case when c_custkey % 2 = 0 then 'Home' else 'Away' end, cast(c_custkey as {s}), c_custkey + 2000 from customer where c_custkey <= 40",
-    "player": "select 'Wyscout' as provider, cast(c_custkey as {s}) as provider_id, cast(null as {s}) as provider_match_id, c_custkey + 3000 as canonical_id from customer where c_custkey between 2 and 9",
+    "match": "select 'StatsBomb' as provider, cast(c_custkey as {s}) as provider_id, cast(null as {s}) as provider_match_id, c_custkey * 10 as canonical_id from customer",
+    "team": "select case c_custkey % 3 when 0 then 'StatsBomb' when 1 then 'Metrica' else 'Wyscout' end as provider, cast(c_custkey as {s}) as provider_id, cast(null as {s}) as provider_match_id, c_custkey + 1000 as canonical_id from customer union all select 'Metrica', case when c_custkey % 2 = 0 then 'Home' else 'Away' end, cast(c_custkey as {s}), c_custkey + 2000 from customer",
+    "player": "select 'Wyscout' as provider, cast(c_custkey as {s}) as provider_id, cast(null as {s}) as provider_match_id, c_custkey + 3000 as canonical_id from customer",
 }
 
 
@@ -379,19 +369,6 @@ def j4_unresolved(spark, sf):
     return ident.unresolved(refs, mappings(spark, sf, "team")).select("provider", "provider_id")
 
 
-@query("select c_custkey, case when c_custkey % 10 = 3 then c_custkey - 1 else c_custkey end as target from customer")
-def i8_merge_redirect(spark, sf):
-    c = table(spark, sf, "customer").select("c_custkey", F.col("c_custkey").alias("target"))
-    aliases = c.where("c_custkey % 10 = 3").select(F.col("c_custkey").alias("old_id"), (F.col("c_custkey") - 1).alias("new_id"))
-    return ident.redirected(c, "target", aliases)
-
-
-@query("select n_nationkey, case n_regionkey when 1 then 'Renamed' else 'C' || n_regionkey end as competition from nation")
-def i4_rename_relabel(spark, sf):
-    m = table(spark, sf, "nation").select("n_nationkey", F.concat(F.lit("C"), F.col("n_regionkey").cast("string")).alias("competition"))
-    return ident.relabelled(m, spark.createDataFrame([("C1", "Renamed")], "old_name string, new_name string"))
-
-
 @query(
     """with s as (select s_suppkey, s_name, s_suppkey as o from supplier union all select s_suppkey, case when s_suppkey % 4 = 0 then s_name || '!' else s_name end, s_suppkey + 100000 from supplier where s_suppkey % 2 = 0)
     select s_suppkey, arg_min(s_name, o) as s_name, count(distinct s_name) > 1 as conflict from s group by s_suppkey"""
@@ -446,9 +423,8 @@ def j5_season_candidates(spark, sf):
 
 
 def _matches(spark: SparkSession, sf_dir: str, left: bool) -> DataFrame:
-    """Matches from orders: teams repeat every few hundred customers; the other provider's are shifted copies."""
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0" if left else "o_orderkey % 3 = 0 and o_orderkey % 2 = 0")
-    return o.selectExpr(
+    """Matches of all orders, a customer's being of one home team; the other provider's are shifted copies."""
+    return table(spark, sf_dir, "orders").selectExpr(
         f"'{'StatsBomb' if left else 'Wyscout'}' as provider",
         "cast(o_orderkey as string) as id",
         "cast(o_orderkey % 4 as string) as competition_id",
@@ -469,16 +445,16 @@ def _matches(spark: SparkSession, sf_dir: str, left: bool) -> DataFrame:
 
 
 def _match_sql(left: bool) -> str:
-    name = "'League ' || o_orderkey % 4" if left else "upper('League  ' || o_orderkey % 4)"
+    name = NAME.format("'League ' || o_orderkey % 4" if left else "upper('League  ' || o_orderkey % 4)")
     return f"""(select '{'StatsBomb' if left else 'Wyscout'}' as provider, cast(o_orderkey as varchar) as id, case when o_orderkey % 5 = 0 then null else {name} end as cname, case when o_orderkey % 8 = 1 then o_orderkey % 4 end as ccan,
       case when o_orderkey % 7 <> 0 then 'S' || o_orderkey % 6 end as sname, case when o_orderkey % 11 <> 0 then o_orderkey * 1000 + {'0' if left else '(o_orderkey % 5) * 200'} end as kickoff,
       case when o_custkey % 9 <> 0 then o_custkey end as home, case when o_custkey % 10 = 4 then o_custkey else o_custkey + 1 end as away, o_orderkey % 4 as hs,
-      case when o_orderkey % 13 = 0 then null when o_orderkey % 17 = 0 then {'1' if left else '2'} else o_orderkey % 3 end as aws from orders where o_orderkey % 3 = 0{'' if left else ' and o_orderkey % 2 = 0'})"""
+      case when o_orderkey % 13 = 0 then null when o_orderkey % 17 = 0 then {'1' if left else '2'} else o_orderkey % 3 end as aws from orders)"""
 
 
 def _compared_sql(pairs: str) -> str:
     return f"""pairs as ({pairs}), ev as (select l_id, r_id,
-      case when l_ccan is not null and r_ccan is not null then case when l_ccan = r_ccan then 'agreeing' else 'conflicting' end when l_cname is null or r_cname is null then 'missing' when {NAME.format('l_cname')} = {NAME.format('r_cname')} then 'agreeing' else 'uncertain' end as competition,
+      case when l_ccan is not null and r_ccan is not null then case when l_ccan = r_ccan then 'agreeing' else 'conflicting' end when l_cname is null or r_cname is null then 'missing' when l_cname = r_cname then 'agreeing' else 'uncertain' end as competition,
       case when l_sname is null or r_sname is null then 'missing' when lower(l_sname) = lower(r_sname) then 'agreeing' else 'uncertain' end as season,
       case when l_kickoff is null or r_kickoff is null then 'missing' when abs(l_kickoff - r_kickoff) <= 300 then 'agreeing' when abs(l_kickoff - r_kickoff) <= 86400 then 'uncertain' else 'conflicting' end as kickoff,
       case when l_home is null or r_home is null then 'missing' when l_home = r_home and l_away = r_away and l_home = l_away then 'conflicting' when l_home = r_home then 'agreeing' else 'conflicting' end as home_team,
@@ -503,19 +479,30 @@ def r2_match_evidence(spark, sf):
     return _statuses(cand.compared(l.join(r, F.col("l_id") == F.col("r_id"))))
 
 
-@query(f"with {_compared_sql(f'select {_SIDES} from {_match_sql(True)} l join {_match_sql(False)} r on l.home = r.home and l.away = r.away')} select {', '.join(_STATUSES)} from fin where is_candidate")
+@query(f"with {_compared_sql(f'select {_SIDES} from {_match_sql(True)} l cross join {_match_sql(False)} r')} select {', '.join(_STATUSES)} from fin where is_candidate")
 def r3_match_candidates(spark, sf):
+    """The SQL compares all matches with all."""
     return _statuses(cand.match_candidates(_matches(spark, sf, True), _matches(spark, sf, False)))
 
 
-@query(
-    """with new as (select c_custkey as k from customer where c_custkey % 3 = 0), old as (select c_custkey as k, c_custkey // 6 as id from customer where c_custkey % 6 = 0)
-    select k, row_number() over (order by k) + (select max(id) from old) as id from new where k not in (select k from old)"""
-)
-def j10_candidate_upsert(spark, sf):
-    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("k"))
-    old = c.where("k % 6 = 0").select("k", F.floor(F.col("k") / 6).alias("id"))
-    return cand.upserted(c.where("k % 3 = 0"), old, ["k"], ["k"]).select("k", "id")
+RANKED = "0.0::double" + "".join(f" + {w}::double * case {f} when 'agreeing' then 1.0::double when 'uncertain' then 0.5::double else 0.0::double end" for f, w in cand.WEIGHTS)
+
+
+@query(f"with {_compared_sql(f'select {_SIDES} from {_match_sql(True)} l join {_match_sql(False)} r on l.home = r.home')} select l_id, r_id, row_number() over (order by {RANKED} desc, l_id, r_id) as id from fin where is_candidate")
+def o2_j10_match_candidate_ids(spark, sf):
+    """Ids follow the order of review."""
+    found = cand.match_candidates(_matches(spark, sf, True), _matches(spark, sf, False))
+    none = found.select(*cand.MATCH_KEYS, F.lit(0).cast("long").alias("id")).limit(0)
+    return cand.upserted(found, none, cand.MATCH_KEYS, cand.match_order()).select("l_id", "r_id", "id")
+
+
+@query(T_SQL + f""", c as (select pt.provider_id, ct.id as canonical_id from pt join ct on {NAME.format('pt.name')} = {NAME.format('ct.name')} where ct.status = 'active' and trim(pt.name) <> '' and not exists (select 1 from tm where tm.provider_id = pt.provider_id)),
+    old as (select provider_id, canonical_id from c where canonical_id > 100000) select provider_id, canonical_id, (select count(*) from old) + 500 + row_number() over (order by provider_id, canonical_id) as id from c where canonical_id <= 100000""")
+def o3_j10_entity_candidate_ids(spark, sf):
+    """Candidates that are known keep their ids, the others follow the greatest."""
+    found = cand.entity_candidates(*_team_tables(spark, sf))
+    old = cand.numbered(found.where("canonical_id > 100000"), cand.entity_order(), spark.createDataFrame([(500,)], "id long"))
+    return cand.upserted(found, old, cand.ENTITY_KEYS, cand.entity_order()).select("provider_id", "canonical_id", "id")
 
 
 # ---- coverage and manifests ----
@@ -565,47 +552,9 @@ def r4_coverage_seasons(spark, sf):
     return out.select("provider_id", "outcome", F.array_join(F.col("canonical_ids").cast("array<string>"), ",").alias("canonical_ids"), "name_status", "context_status")
 
 
-def _manifest(spark: SparkSession, sf_dir: str):
-    n, s = table(spark, sf_dir, "nation"), table(spark, sf_dir, "supplier")
-    key = F.col("n_nationkey").cast("long")
-    no = F.lit(None).cast("string")
-    seasons = n.select(key.alias("sequence"), F.lit("season").alias("entity"), key.alias("id"), F.col("n_name").alias("name"), F.col("n_regionkey").cast("long").alias("parent_id"), F.lit("competition").alias("parent_entity"), F.when(key % 11 == 10, "name must not be blank").alias("issues"))
-    twice = seasons.where("id % 12 = 7").withColumn("sequence", F.col("sequence") + 1000)
-    regions = table(spark, sf_dir, "region").where("r_regionkey <> 3").select(F.lit("competition").alias("entity"), F.col("r_regionkey").cast("long").alias("id"), F.col("r_name").alias("name"), F.lit(None).cast("long").alias("parent_id"), F.when(F.col("r_regionkey") == 4, "deprecated").otherwise("active").alias("status"))
-    known = n.where(key % 3 == 0).select(F.lit("season").alias("entity"), key.alias("id"), F.when(key % 2 == 0, F.col("n_name")).otherwise("Other").alias("name"), F.col("n_regionkey").cast("long").alias("parent_id"), F.lit("active").alias("status"))
-    k = F.col("s_suppkey")
-    maps = s.select(k.alias("sequence"), F.lit("season").alias("entity"), (k % 25).alias("id"), F.lit("Wyscout").alias("provider"), F.when(k % 9 == 0, "same").otherwise(k.cast("string")).alias("provider_id"), no.alias("provider_match_id"), F.when(k % 14 == 13, "provider must not be blank").alias("issues"))
-    mapped = s.where(k % 4 == 0).select(F.lit("season").alias("entity"), F.lit("Wyscout").alias("provider"), k.cast("string").alias("provider_id"), no.alias("provider_match_id"), F.when(k % 8 == 0, k % 25).otherwise(k % 25 + 1).alias("canonical_id"))
-    return seasons.unionByName(twice), regions.unionByName(known), maps, mapped
-
-
-MANIFEST = """with e as (select n_nationkey as seq, n_nationkey as id, n_name as name, n_regionkey as parent, n_nationkey % 11 = 10 as bad from nation union all select n_nationkey + 1000, n_nationkey, n_name, n_regionkey, n_nationkey % 11 = 10 from nation where n_nationkey % 12 = 7),
-  p as (select seq, id, case when bad or count(*) over (partition by id) > 1 then 'invalid' when parent in (3, 4) then 'invalid' when id % 3 <> 0 then 'create' when id % 2 = 0 then 'unchanged' else 'conflict' end as action from e),
-  m as (select s_suppkey as seq, s_suppkey % 25 as id, case when s_suppkey % 9 = 0 then 'same' else cast(s_suppkey as varchar) end as pid, s_suppkey % 14 = 13 as bad from supplier),
-  old as (select cast(s_suppkey as varchar) as pid, case when s_suppkey % 8 = 0 then s_suppkey % 25 else s_suppkey % 25 + 1 end as cid from supplier where s_suppkey % 4 = 0),
-  pm as (select m.seq, m.id, case when bad then 'invalid' when count(*) over (partition by m.pid) > 1 then case when min(m.id) over (partition by m.pid) <> max(m.id) over (partition by m.pid) then 'conflict' else 'invalid' end when old.cid = m.id then 'unchanged' when old.cid is not null then 'conflict' when exists (select 1 from p where p.id = m.id and p.action in ('create', 'unchanged')) then 'create' else 'invalid' end as action from m left join old on old.pid = m.pid) """
-
+@query(COVERED + "select row_number() over (order by provider_id) - 1 as place, provider_id, outcome from cov")
+def o4_coverage_order(spark, sf):
+    return positions(cov.ordered(_covered(spark, sf)).select("provider_id", "outcome"), "place")
 
-@query(MANIFEST + "select seq::bigint as sequence, id::bigint as id, action from p")
-def m3_manifest_entries(spark, sf):
-    entries, existing, _, _ = _manifest(spark, sf)
-    return plan.planned_entries(entries, existing).select("sequence", "id", "action")
 
-
-@query(MANIFEST + "select seq::bigint as sequence, id::bigint as id, action from pm")
-def m4_a18_manifest_mappings(spark, sf):
-    entries, existing, maps, mapped = _manifest(spark, sf)
-    return plan.planned_mappings(maps, plan.planned_entries(entries, existing), mapped).select("sequence", "id", "action")
-
-
-@query(MANIFEST + """select count(*) filter (where action = 'create') as "create", count(*) filter (where action = 'unchanged') as unchanged, count(*) filter (where action = 'conflict') as conflict, count(*) filter (where action = 'invalid') as invalid from (select action from p union all select action from pm)""")
-def a17_manifest_summary(spark, sf):
-    entries, existing, maps, mapped = _manifest(spark, sf)
-    planned = plan.planned_entries(entries, existing)
-    return plan.action_counts(planned.select("action").unionByName(plan.planned_mappings(maps, planned, mapped).select("action")))
-
-
-@query("select 'home' as side, o_custkey as team from orders union all select 'away', o_custkey + 1 from orders")
-def s4_union_sides(spark, sf):
-    o = table(spark, sf, "orders")
-    return o.select(F.lit("home").alias("side"), F.col("o_custkey").alias("team")).unionByName(o.select(F.lit("away").alias("side"), (F.col("o_custkey") + 1).alias("team")))
+from . import suite_catalog, suite_sources  # noqa: E402, F401 - their queries register themselves
