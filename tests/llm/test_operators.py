@@ -414,28 +414,93 @@ def test_main_text_of_odd_rows(spark):
 # ---- 8 ----
 
 
-def test_language_model(spark, sf, documents):
+def smoothed(words_of, learnt, discount=0.75):
+    """Counts, and the exact log10 probability of a list of words."""
+    c = Counter(w for i in learnt for w in words_of[i])
+    under = sum(c.values()) + 0.5 * (len(c) + 1)
+    pairs, triples, context = Counter(), Counter(), Counter()
+    for i in learnt:
+        for u, v, w in zip(["<2>", "<1>", *words_of[i]], ["<1>", *words_of[i]], words_of[i]):
+            pairs[v, w] += 1
+            context[v,] += 1
+            triples[u, v, w] += 1
+            context[u, v] += 1
+    rest = {}
+    for grams in (pairs, triples):
+        for g, n in grams.items():
+            rest[g[:-1]] = rest.get(g[:-1], 1.0) - (n - discount) / context[g[:-1]]
+
+    def log10(words):
+        total = 0.0
+        for u, v, w in zip(["<2>", "<1>", *words], ["<1>", *words], words):
+            p = (c[w] + 0.5) / under
+            for grams, g in ((pairs, (v, w)), (triples, (u, v, w))):
+                p = ((grams[g] - discount) / context[g[:-1]] if g in grams else 0.0) + max(rest.get(g[:-1], 1.0), 0.0) * p
+            total += math.log10(p)
+        return total
+
+    return c, under, log10
+
+
+@pytest.mark.parametrize("share", [language.SHARE, 4_000])
+def test_language_model(spark, sf, documents, monkeypatch, share):
+    """Singletons count, and words with more than a shard's share of the tokens are as exact as others."""
+    monkeypatch.setattr(language, "SHARE", share)
     words_of = {i: [*tokens(t), None] for i, t in documents.items()}
     learnt = [i for i in words_of if zlib.crc32(str(i).encode()) % 5 != 1]
-    c = Counter(w for i in learnt for w in words_of[i])
-    total, under = sum(c.values()), sum(c.values()) + 0.5 * (len(c) + 1)
-    pairs = {k: n for k, n in Counter(p for i in learnt for p in zip(["<s>", *words_of[i]], words_of[i])).items() if n >= 2}
-    size = c | {"<s>": len(learnt)}
-    rest = dict.fromkeys(size, 1.0)
-    for (v, _), n in pairs.items():
-        rest[v] -= (n - 0.75) / size[v]
+    c, under, log10 = smoothed(words_of, learnt)
     sums = Counter()
     for i, r in by_id(registry.QUERIES["op8_language_model"](spark, sf)).items():
         x = words_of[i]
-        assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"]) == (len(x), sum(c[w] > 0 for w in x), total, i not in learnt)
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"]) == (len(x), sum(c[w] > 0 for w in x), sum(c.values()), i not in learnt)
         assert r["base_score"] == pytest.approx(sum(math.log10((c[w] + 0.5) / under) for w in x))
-        exact = sum(math.log10((pairs[v, w] - 0.75) / size[v] * ((v, w) in pairs) + max(rest.get(v, 1), 0) * (c[w] + 0.5) / under) if (v, w) in pairs else math.log10(max(rest.get(v, 1), 1e-300) * (c[w] + 0.5) / under) for v, w in zip(["<s>", *x], x))
+        exact = log10(x)
         assert abs(r["score"] - exact) < 0.001 * len(x) and r["score"] <= exact + 1e-6
         if r["held_out"]:
             sums.update(base=r["base_score"], model=r["score"])
     assert sums["model"] > sums["base"]
 
 
+def test_hot_words_have_many_shards(spark, monkeypatch):
+    """A third of all pairs begin with one word."""
+    monkeypatch.setattr(language, "SHARE", 500)
+    dice = random.Random(3)
+    texts = {i: " ".join(x for _ in range(20) for x in ("the", f"w{dice.randrange(300)}", f"w{dice.randrange(30)}")) for i in range(60)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    model = language.train(df)
+    assert len(model.triples.hot) == 1 and len(model.triples.names) > 3
+    words_of = {i: [*tokens(t), None] for i, t in texts.items()}
+    _, _, log10 = smoothed(words_of, words_of)
+    for i, r in by_id(language.score(df, model)).items():
+        assert abs(r["score"] - log10(words_of[i])) < 0.001 * len(words_of[i])
+
+
+def test_language_model_of_a_very_long_text(spark, monkeypatch):
+    """A text longer than a block is one block; blocks don't change scores."""
+    dice = random.Random(4)
+    texts = [(1, " ".join(f"w{dice.randrange(900)}" for _ in range(40_000))), (2, "w1 w2 w3"), (3, None)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    whole = {i: r["score"] for i, r in by_id(language.score(df, language.train(df))).items()}
+    monkeypatch.setattr(language, "BLOCK", 1 << 12)
+    for i, r in by_id(language.score(df, language.train(df))).items():
+        assert r["score"] == pytest.approx(whole[i])
+    _, _, log10 = smoothed({i: [*tokens(t), None] for i, t in texts}, [1, 2, 3])
+    assert abs(whole[1] - log10([*tokens(texts[0][1]), None])) < 40
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_children_of_a_level(seed):
+    dice = np.random.default_rng(seed)
+    counts = dice.integers(0, 6, 80)
+    lists = [np.sort(dice.choice(30, k, replace=False)) for k in counts]
+    at = np.concatenate(([0], np.cumsum(counts)))
+    level = eliasfano.Children(np.frombuffer(eliasfano.padded(eliasfano.Children.encode(counts, np.concatenate(lists))), np.uint8), 0)
+    ranges = level.ranges(np.arange(80))
+    assert ranges[0].tolist() == at[:-1].tolist() and ranges[1].tolist() == at[1:].tolist()
+    for x in range(31):
+        assert level.find(*ranges, np.full(80, x)).tolist() == [at[i] + n.tolist().index(x) if x in n else -1 for i, n in enumerate(lists)]
+
+
 def test_language_model_without_a_mounted_folder(spark, sf, monkeypatch):
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(40)
     mounted = language.score(docs, language.train(docs)).collect()

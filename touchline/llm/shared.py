@@ -1,23 +1,14 @@
-"""Tables in the folder that the driver and all executors share."""
+"""What the operators share of sessions, tables and the folder that all executors see."""
 
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-SETTING = "spark.checkpoint.dir"
+from ..settled import delete, settle, shared_folder
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder's path under the one that the session names; a temporary one where none is named."""
-    base = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="touchline-")
-        spark.conf.set(SETTING, base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+__all__ = ["lean", "local_path", "release", "settle", "shared_folder", "table", "tasks"]
 
 
 def local_path(uri: str) -> str | None:
@@ -27,15 +18,10 @@ def local_path(uri: str) -> str | None:
     return uri if "://" not in uri else None
 
 
-def settle(df: DataFrame, partition_by: str | None = None) -> DataFrame:
-    """Write a frame as a shared table and read it again: lineage ends here, and a lost executor costs no more than one stage."""
-    spark = df.sparkSession
-    path = shared_folder(spark)
-    writer = df.write.option("compression", "zstd")
-    if partition_by:
-        writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def release(df: DataFrame) -> None:
+    """Delete a settled table that nothing reads any more."""
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        delete(df.sparkSession, folder)
 
 
 #: Rows that go to a Python worker together: texts are long, and a batch is held twice on its way.
