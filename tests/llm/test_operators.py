@@ -92,28 +92,81 @@ def test_components(spark):
 # ---- 1 ----
 
 
-def test_fingerprints(spark, sf, documents):
+def plain_tree(text):
+    """Root, and digests of sections and paragraphs, by the book."""
+    of = lambda kind, data: hashlib.blake2b(data, digest_size=16, person=kind).digest()
+    sections = [[]]
+    lines = text.encode().split(b"\n")
+    for i, line in enumerate(lines):
+        sections[-1].append(of(b"paragraph", line))
+        if (not line.strip() or sections[-1][-1][-1] % 8 == 0) and i + 1 < len(lines):
+            sections.append([])
+    digests = [of(b"section", b"".join(x)) for x in sections]
+    return of(b"root", b"".join(digests)).hex(), [(d.hex()[:16], [p.hex()[:16] for p in x]) for d, x in zip(digests, sections)]
+
+
+def dice_of_codes(a, b):
+    x, y = (Counter(c[i : i + 6] for _, ps in fingerprints.tree(p)[1] for _, c in ps for i in range(0, len(c), 6)) for p in (a, b))
+    return 2 * sum((x & y).values()) / (sum(x.values()) + sum(y.values())) if x or y else float(a == b)
+
+
+@pytest.mark.parametrize("sampled", [fingerprints.SAMPLED, 1])
+def test_fingerprints(spark, sf, documents, monkeypatch, sampled):
+    monkeypatch.setattr(fingerprints, "SAMPLED", sampled)
     got = by_id(registry.QUERIES["op1_fingerprints"](spark, sf))
     order = sorted(documents, reverse=True)
     for i, d in enumerate(order):
         text, following = documents[d], documents[order[(i + 1) % len(order)]]
         half = len(text) // 2
         edited = text[: len(text) - half] + following[:half]
-        r = got[d]
+        r, after = got[d], got[order[(i + 1) % len(order)]]
         assert (r["n_chars"], r["edited_sha256"]) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
-        prints, _, _ = fingerprints.fingerprints([t.encode() for t in (text, edited, following)], Hasher())
-        assert (r["fingerprint"], r["edited_fingerprint"]) == (prints[0], prints[1])
-        assert r["near_edited"] == pytest.approx(fingerprints.likeness(*prints[:2])) and r["near_next"] == pytest.approx(fingerprints.likeness(prints[0], prints[2]))
+        for print_, of in ((r["fingerprint"], text), (r["edited_fingerprint"], edited)):
+            root, sections = fingerprints.tree(print_)
+            assert (root, [(x, [p for p, _ in ps]) for x, ps in sections]) == plain_tree(of)
+        assert r["near_edited"] == pytest.approx(dice_of_codes(r["fingerprint"], r["edited_fingerprint"])) == pytest.approx(fingerprints.likeness(r["fingerprint"], r["edited_fingerprint"]))
+        assert r["near_next"] == pytest.approx(dice_of_codes(r["fingerprint"], after["fingerprint"]))
     long = [r for d, r in got.items() if len(documents[d]) > 200]
     assert sum(r["near_edited"] > r["near_next"] for r in long) > 0.95 * len(long)
+    assert len({r["fingerprint"] for r in got.values()}) == len(set(documents.values()))
+
+
+def changed(a, b):
+    (x, y), _, _ = fingerprints.fingerprints([a.encode(), b.encode()], Hasher())
+    return fingerprints.differing(x, y)
 
 
 def test_fingerprints_locate_edits():
-    a = "\n".join(f"line {i} has a few words of its own, {i * 7}" for i in range(40))
-    b = a.replace("line 20 has", "row 20 had")
-    (x, y, z), _, _ = fingerprints.fingerprints([a.encode(), b.encode(), a.encode()], Hasher())
-    assert x == z and x != y and fingerprints.likeness(x, y) > 0.9
-    assert len(fingerprints.differing(x, y)) == 1 and fingerprints.differing(x, z) == []
+    lines = [f"line {i} has a few words of its own, {i * 7}" + ("\n" if i % 9 == 8 else "") for i in range(40)]
+    text = "\n".join(lines)
+    put = lambda i, *new: "\n".join([*text.split("\n")[:i], *new, *text.split("\n")[i + 1 :]])
+    own = text.split("\n")
+    assert changed(text, text) == []
+    assert changed(text, put(20, "another line")) == [("replace", (20, 21), (20, 21))]
+    assert changed(text, put(20, own[20] + "  ")) == [("replace", (20, 21), (20, 21))]  # trailing spaces
+    assert changed(text, put(20, own[20], "")) == [("insert", (21, 21), (21, 22))]  # a blank line
+    assert changed(text, put(20, own[20], own[20])) in ([("insert", (21, 21), (21, 22))], [("insert", (20, 20), (20, 21))])  # a repeated line
+    assert changed(put(20, own[20], "x"), text) == [("delete", (21, 22), (21, 21))]
+    moved = changed(text, "\n".join([*own[:12], own[13], own[12], *own[14:]]))
+    assert moved and all(12 <= i <= j <= 14 for _, (i, j), _ in moved)
+    assert changed("", "x") == [("replace", (0, 1), (0, 1))]
+
+
+def test_fingerprints_of_one_key_in_many_rows(spark):
+    """A key with a third of the rows is dealt to several tasks, and the chain goes through all of them."""
+    rows = [(7 if i % 3 == 0 else i, f"text {i} of its own") for i in range(600)] + [(None, f"null {i}") for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    buckets = df.withColumn("b", fingerprints._bucket(F.col("doc_id"), F.xxhash64("text"), [3, 7, 90], Counter([3, 7, 7, 7, 7, 90]))).where("doc_id = 7").groupBy("b").count().collect()
+    assert len(buckets) == 4 and all(1 <= r["b"] <= 4 for r in buckets)
+    got = fingerprints.compare_with_next(df).collect()
+    assert len(got) == len(rows)
+    prints = {t: fingerprints.fingerprints([t.encode()], Hasher())[0][0] for _, t in rows}
+    order = [r[1] for r in df.withColumn("h", F.xxhash64("text")).orderBy(F.desc_nulls_last("doc_id"), F.desc("h")).select("doc_id", "text").collect()]
+    nexts = {prints[t]: order[(i + 1) % len(order)] for i, t in enumerate(order)}
+    texts = {p: t for t, p in prints.items()}
+    for r in got:
+        text, following = texts[r["fingerprint"]], nexts[r["fingerprint"]]
+        assert r["edited_sha256"] == hashlib.sha256(fingerprints.edited_text(text, following).encode()).hexdigest()
 
 
 def test_fingerprints_of_odd_rows(spark, odd):

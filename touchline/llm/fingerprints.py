@@ -2,23 +2,29 @@
 
 A text's lines are its paragraphs; a section ends at a blank line, or after a paragraph whose digest ends in three zero
 bits, so that an edit moves the borders of one section only. A paragraph's digest is over its raw bytes, a section's over
-its paragraphs' digests, the root over the sections'. Below a paragraph lie pieces: runs of words that end at a word of a
-chosen hash or a greatest length, each with a 24-bit code. A fingerprint is written as `root:` and the codes, six hexadecimal digits each,
-with "." between paragraphs and "/" between sections. Equal texts have equal fingerprints, different texts different
-roots; branches that differ show where an edit lies; the share of equal codes tells how alike two texts are.
+its paragraphs' digests, the root over the sections'. A fingerprint spells the whole tree: the root (32 hexadecimal
+digits) and ":", then sections after one another with "/" between, each its digest (16 digits), "=" and its paragraphs
+with "." between, each its digest (16) and its pieces' codes (6 each). Pieces are runs of words that end at a word of a
+chosen hash or a greatest length. Equal texts have equal fingerprints, different texts different roots; descending from
+two roots that differ into the branches that do locates every edit, of white space, order and number, too. The share of
+equal codes tells how alike two texts are.
 
 Null text counts as empty, and the empty text has a fingerprint without codes. Two fingerprints without codes are alike
-(1) if equal, else not at all (0).
+(1) if equal, else not at all (0). Very long texts are fingerprinted like others, one at a time. An empty table gives no
+rows; columns other than key and text are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
+from collections import Counter
 from collections.abc import Iterator
+from difflib import SequenceMatcher
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import Hasher, column_bytes, words
@@ -29,6 +35,10 @@ PIECE = 4
 #: Bytes of text worked on at once.
 STEP = 1 << 20
 LINE = 10
+#: Bytes of sections' and paragraphs' digests that a fingerprint spells.
+SHOWN = 8
+#: Keys of the sample that the ranges' borders are taken from, for each task.
+SAMPLED = 100
 
 
 def _digest(kind: bytes, data: bytes) -> bytes:
@@ -62,23 +72,21 @@ def fingerprints(texts: list[bytes], hasher: Hasher) -> tuple[list[str], np.ndar
         lines = text.split(b"\n")
         at = int(offsets[k])
         borders = np.searchsorted(first, at + np.concatenate(([0], np.cumsum([len(x) + 1 for x in lines])))).tolist()
+        end = int(np.searchsorted(owner, k, "right"))
         sections: list[tuple[list[bytes], list[str]]] = [([], [])]
         for i, x in enumerate(lines):
             d = _digest(b"paragraph", x)
             sections[-1][0].append(d)
             # the last border may reach into the next text by one byte, the first is never before this one
-            sections[-1][1].append(spelled[6 * borders[i] : 6 * min(borders[i + 1], _end(owner, k))])
+            sections[-1][1].append(d[:SHOWN].hex() + spelled[6 * borders[i] : 6 * min(borders[i + 1], end)])
             if (not x.strip() or d[-1] & 7 == 0) and i + 1 < len(lines):
                 sections.append(([], []))
-        root = _digest(b"root", b"".join(_digest(b"section", b"".join(ds)) for ds, _ in sections))
-        out.append(f"{root.hex()}:{'/'.join('.'.join(cs) for _, cs in sections)}")
+        digests = [_digest(b"section", b"".join(ds)) for ds, _ in sections]
+        spelt = "/".join(f"{d[:SHOWN].hex()}={'.'.join(ps)}" for d, (_, ps) in zip(digests, sections))
+        out.append(f"{_digest(b'root', b''.join(digests)).hex()}:{spelt}")
     return out, codes, owner
 
 
-def _end(owner: np.ndarray, k: int) -> int:
-    return int(np.searchsorted(owner, k, "right"))
-
-
 def likenesses(codes_a: np.ndarray, pair_a: np.ndarray, codes_b: np.ndarray, pair_b: np.ndarray, n: int) -> np.ndarray:
     """For each of n pairs: twice the codes in common over all codes; NaN where neither side has any."""
     at_a, n_a = np.unique(pair_a.astype(np.int64) << 24 | codes_a.astype(np.int64), return_counts=True)
@@ -89,8 +97,18 @@ def likenesses(codes_a: np.ndarray, pair_a: np.ndarray, codes_b: np.ndarray, pai
     return np.where(total > 0, 2 * common / np.maximum(total, 1), np.nan)
 
 
+def tree(fingerprint: str) -> tuple[str, list[tuple[str, list[tuple[str, str]]]]]:
+    """Root, and of each section its digest and its paragraphs' digests and codes."""
+    root, _, rest = fingerprint.partition(":")
+    sections = []
+    for section in rest.split("/"):
+        digest, _, paragraphs = section.partition("=")
+        sections.append((digest, [(p[: 2 * SHOWN], p[2 * SHOWN :]) for p in paragraphs.split(".")]))
+    return root, sections
+
+
 def _codes(fingerprint: str) -> np.ndarray:
-    plain = fingerprint.partition(":")[2].replace("/", "").replace(".", "")
+    plain = "".join(codes for _, paragraphs in tree(fingerprint)[1] for _, codes in paragraphs)
     return np.array([int(plain[i : i + 6], 16) for i in range(0, len(plain), 6)], np.uint64)
 
 
@@ -101,13 +119,19 @@ def likeness(a: str, b: str) -> float:
     return float(a == b) if np.isnan(got) else float(got)
 
 
-def differing(a: str, b: str) -> list[tuple[int, int]]:
-    """(section, paragraph) of a's branches whose codes b lacks at any place. Sections in common are not descended into."""
-    if a.partition(":")[0] == b.partition(":")[0]:
+def differing(a: str, b: str) -> list[tuple[str, tuple[int, int], tuple[int, int]]]:
+    """The edits that lead from a's text to b's, by descending from the roots: equal sections are left, the paragraphs of others compared. Each is "replace", "delete" or "insert", and the paragraphs (lines, from 0, the end excluded) of a and of b that it concerns."""
+    (root_a, in_a), (root_b, in_b) = tree(a), tree(b)
+    if root_a == root_b:
         return []
-    whole = set(b.partition(":")[2].split("/"))
-    single = {p for s in whole for p in s.split(".")}
-    return [(i, j) for i, s in enumerate(a.partition(":")[2].split("/")) if s not in whole for j, p in enumerate(s.split(".")) if p not in single]
+    at_a, at_b = ([0, *itertools.accumulate(len(ps) for _, ps in x)] for x in (in_a, in_b))
+    out = []
+    for op, i, j, k, m in SequenceMatcher(None, [d for d, _ in in_a], [d for d, _ in in_b], False).get_opcodes():
+        if op == "equal":
+            continue
+        below = SequenceMatcher(None, *([d for _, ps in x for d, _ in ps] for x in (in_a[i:j], in_b[k:m])), False)
+        out += [(o, (at_a[i] + p, at_a[i] + q), (at_b[k] + r, at_b[k] + t)) for o, p, q, r, t in below.get_opcodes() if o != "equal"]
+    return out
 
 
 def edited_text(text: str, following: str) -> str:
@@ -115,31 +139,53 @@ def edited_text(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+def _bucket(key: Column, hash_: Column, borders: list[int], times: Counter) -> Column:
+    """The range of a key among sorted distinct borders, found by halving. A border that stands several times has as many ranges, in rising order of the hash."""
+    if not borders:
+        return F.lit(0)
+    below = [0, *itertools.accumulate(times[b] for b in borders)]
+    values, before = F.lit(borders), F.lit(below)
+    step = lambda at, _: F.when(at["lo"] >= at["hi"], at).otherwise(
+        F.when(F.get(values, ((at["lo"] + at["hi"]) / 2).cast("int")) < key, F.struct((((at["lo"] + at["hi"]) / 2).cast("int") + 1).alias("lo"), at["hi"].alias("hi"))).otherwise(
+            F.struct(at["lo"].alias("lo"), ((at["lo"] + at["hi"]) / 2).cast("int").alias("hi"))
+        )
+    )
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(len(borders).bit_length() + 1)), F.struct(F.lit(0).alias("lo"), F.lit(len(borders)).alias("hi")), step)["lo"]
+    equal = F.get(values, found) == key
+    ranges = F.get(before, found + 1) - F.get(before, found)
+    part = F.least((hash_.cast("double") / 2.0**64 + 0.5) * ranges, ranges - 1)
+    return (F.get(before, found) + F.when(equal, F.floor(part)).otherwise(0)).cast("int")
+
+
 def compare_with_next(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Each document with the one after it in falling order of key (null keys last, equal keys by falling text; after the last comes the first): fingerprints of the text and of the text whose last half is replaced by the other's beginning, and how alike they are.
+    """Each document with the one after it in falling order of key (null keys last, equal keys by a falling hash of their text; after the last comes the first): fingerprints of the text and of the text whose last half is replaced by the other's beginning, and how alike they are.
 
-    Documents are dealt by ranges of the key. The greatest of each range is also sent to the range above, so that each
-    range holds what follows its own last; only the ranges' borders and greatest keys, one a task, reach the driver.
+    Documents are dealt by ranges of the key; a key that fills several ranges is dealt by the hash. The greatest of each
+    range is also sent to the range above, so that each range holds what follows its own last. Only a sample of the keys
+    and the ranges' greatest ones, in number bounded by the tasks', reach the driver; rows meet them by a binary search
+    and by a join.
     """
-    df = df.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    df = df.select(F.col(key).cast("long").alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text")).withColumn("_hash", F.xxhash64("_text"))
     n = tasks(df.sparkSession)
-    borders = sorted(set(df.approxQuantile("_key", [i / n for i in range(1, n)], 1 / (8 * n)))) if n > 1 else []
-    # how many borders lie below the key
-    bucket = F.coalesce(F.size(F.filter(F.array(*[F.lit(int(b)) for b in borders]), lambda b: b < F.col("_key"))), F.lit(0)) if borders else F.lit(0)
-    df = df.withColumn("_bucket", bucket.cast("int"))
-    greatest = sorted((r["_bucket"], r["top"]) for r in df.groupBy("_bucket").agg(F.max("_key").alias("top")).collect())
-    if not greatest:
-        sent = F.array().cast("array<struct<to:int,rank:int>>")
-    else:
-        above = [*greatest[1:], greatest[0]]
-        sent = F.filter(
-            F.array(*[F.when((F.col("_bucket") == b) & F.col("_key").eqNullSafe(F.lit(top).cast("long")), F.struct(F.lit(to).alias("to"), F.lit(2 if k == len(greatest) - 1 else 1).alias("rank"))) for k, ((b, top), (to, _)) in enumerate(zip(greatest, above))]),
-            lambda x: x.isNotNull(),
-        )
+    least = F.lit(-(2**63)).cast("long")
+    place = F.coalesce("_key", least)
+    share = min(1.0, SAMPLED * n / max(1, df.count()))
+    sampled = sorted(r[0] for r in df.select(place).sample(share, seed=7).collect())
+    borders = [sampled[i * len(sampled) // n] for i in range(1, n)] if sampled else []
+    times = Counter(borders)
+    df = df.withColumn("_bucket", _bucket(place, F.col("_hash"), sorted(times), times))
+    order = F.struct(F.col("_key").isNotNull().alias("known"), place.alias("key"), F.col("_hash").alias("hash"))
+    tops = df.groupBy("_bucket").agg(F.max(order).alias("top")).orderBy("_bucket").collect()
+    above = [*tops[1:], *tops[:1]]
+    sends = df.sparkSession.createDataFrame(
+        [(r["_bucket"], r["top"]["key"], r["top"]["hash"], up["_bucket"], 2 if k == len(tops) - 1 else 1) for k, (r, up) in enumerate(zip(tops, above))],
+        "_bucket int, _top long, _top_hash long, _to int, _rank int",
+    )
+    sent = F.when((place == F.col("_top")) & (F.col("_hash") == F.col("_top_hash")), F.array(F.struct(F.col("_to").alias("to"), F.col("_rank").alias("rank")))).otherwise(F.array().cast("array<struct<to:int,rank:int>>"))
     own = F.array(F.struct(F.col("_bucket").alias("to"), F.lit(0).alias("rank")))
-    dealt = df.select("_key", "_text", F.inline(F.concat(own, sent)))
-    dealt = dealt.repartitionById(max(1, len(borders) + 1), F.col("to"))
-    dealt = dealt.sortWithinPartitions("to", "rank", F.desc_nulls_last("_key"), F.desc("_text")).select("_key", "_text", "rank", "to")
+    dealt = df.join(F.broadcast(sends), "_bucket").select("_key", "_hash", "_text", F.inline(F.concat(own, sent)))
+    dealt = dealt.repartitionById(len(borders) + 1, F.col("to"))
+    dealt = dealt.sortWithinPartitions("to", "rank", F.desc_nulls_last("_key"), F.desc("_hash"), F.desc("_text")).select("_key", "_text", "rank", "to")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
