@@ -193,14 +193,64 @@ def test_packing():
     assert packing.pack([]) == ([], [], [])
 
 
-def test_longer_bins_win_and_shrink(monkeypatch):
+def test_longer_bins_win():
     bins, _, lengths = packing.pack([600] * 39)
     assert lengths == [2048] * 13 and [bins.count(k) for k in range(13)] == [3] * 13
-    opened, choose = [], packing.opening
-    monkeypatch.setattr(packing, "opening", lambda *a: opened.append(choose(*a)) or opened[-1])
-    # the third bin opens for 416 and 288, but 288 lies better beside 736
-    bins, _, lengths = packing.pack([800, 736, 416, 288, 192])
-    assert (bins, opened, lengths) == ([0, 1, 2, 1, 0], [1024, 1024, 1024], [1024, 1024, 512])
+
+
+def least_cost(sizes):
+    """The cost of the best packing of a few pieces, by trying all."""
+    whole = (1 << len(sizes)) - 1
+    total = [sum(s for k, s in enumerate(sizes) if m >> k & 1) for m in range(whole + 1)]
+    one = [packing.cost(next((x for x in packing.LENGTHS if x >= t), 1 << 40)) for t in total]
+    best = [0.0] + [math.inf] * whole
+    for m in range(1, whole + 1):
+        low, rest = m & -m, m & (m - 1)
+        part = rest
+        while True:
+            best[m] = min(best[m], one[part | low] + best[m ^ (part | low)])
+            if not part:
+                break
+            part = (part - 1) & rest
+    return best[whole]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_packing_is_near_the_optimum(seed):
+    dice = random.Random(seed)
+    share = []
+    for _ in range(25):
+        sizes = sorted((min(8192, max(1, int(dice.lognormvariate(6.2, 1)))) for _ in range(8)), reverse=True)
+        made = sum(map(packing.cost, packing.pack(sizes)[2]))
+        fixed = sum(map(packing.cost, packing.fill(sizes, packing.LENGTHS, lambda i: next(x for x in packing.LENGTHS if x >= sizes[i]))[2]))
+        assert made <= fixed
+        share.append(made / least_cost(sizes))
+    assert min(share) >= 1 - 1e-9 and sum(share) / len(share) < 1.03 and max(share) < 1.15
+
+
+def test_bins_shrink_and_beat_the_fixed_rule():
+    """Bins opened longer than needed and shrunk in the end are cheaper than bins of the first piece's length."""
+    won = shrunk = 0
+    for seed in range(30):
+        dice = random.Random(seed)
+        sizes = sorted((dice.choice((300, 340, 600, 680, 1100)) for _ in range(40)), reverse=True)
+        opened = {}
+        bins, _, lengths = packing.fill(sizes, packing.LENGTHS, lambda i: opened.setdefault(i, next(x for x in packing.LENGTHS if x >= max(2048, sizes[i]))))
+        fixed = packing.fill(sizes, packing.LENGTHS, lambda i: next(x for x in packing.LENGTHS if x >= sizes[i]))[2]
+        made = packing.pack(sizes)[2]
+        shrunk += sum(a > b for a, b in zip(opened.values(), lengths))
+        won += sum(map(packing.cost, made)) < sum(map(packing.cost, fixed))
+    assert won >= 25 and shrunk >= 10
+
+
+def test_groups_are_bounded_by_pieces(spark, monkeypatch):
+    """Few documents of many pieces make many groups; rows of one id are spread by their texts."""
+    monkeypatch.setattr(packing, "GROUP", 10)
+    df = spark.createDataFrame([(None if i % 2 else 1, f"w{i} " * (2_000 * i)) for i in range(30)], "doc_id long, text string")
+    rows = packing.pack_documents(df, lengths=(512, 1024)).collect()
+    assert sum(r["n_tokens"] for r in rows) == sum(2_000 * i for i in range(30))
+    groups = Counter(r["bin_group"] for r in rows)
+    assert len(groups) > 50 and max(groups.values()) < 40
 
 
 def test_packed_documents(spark, odd):
