@@ -351,6 +351,42 @@ def test_repeats(spark, sf, documents, many):
     assert digests(df, many=many) == plain_repeats(documents.items())
 
 
+@pytest.mark.parametrize("many", [1, 1000])
+def test_groups_hold_every_place(spark, many):
+    """Each group's places all hold its bytes, and every repeated window lies in a group with all its places."""
+    dice = random.Random(6)
+    word = lambda: "".join(dice.choice("abcdefgh") for _ in range(7))
+    passage = [" ".join(word() for _ in range(40)) for _ in range(3)]
+    docs = [(i, " ".join([word(), dice.choice(passage)[dice.randrange(60) :], word(), dice.choice(passage)])) for i in range(25)] + [(None, passage[0]), (90, passage[0])]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    at = defaultdict(set)
+    for r in repeats.groups(df, many=many).collect():
+        at[r["group_id"], r["length"]].add((r["doc_id"], r["start"]))
+    text = dict(docs)
+    windows = defaultdict(set)
+    for d, t in docs:
+        for i in range(len(t) - 99):
+            windows[t[i : i + 100]].add((d, i))
+    covered = defaultdict(set)
+    for (_, n), places in at.items():
+        assert len({text[d][i : i + n] for d, i in places}) == 1 and len(places) > 1
+        for k in range(n - 99):
+            d, i = next(iter(places))
+            covered[text[d][i + k : i + k + 100]] |= {(d, i + k) for d, i in places}
+    assert {w for w, p in windows.items() if len(p) > 1} == set(covered)
+    assert all(covered[w] == windows[w] for w in covered)
+
+
+def test_repeats_of_very_long_texts(spark):
+    """Texts over 4 MB are worked on in parts; a copy across a part's border is found whole."""
+    dice = np.random.default_rng(8)
+    long = dice.integers(97, 123, 9_000_000).astype(np.uint8).tobytes().decode()
+    border = repeats.LONG
+    docs = [(1, long), (2, "start " + long[border - 5_000 : border + 5_000] + " end"), (3, "x" * 50 + long[2 * border - 70 : 2 * border + 70])]
+    got = digests(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert got[1][1] == 0 and got[2][1:3] == (10_000, 1) and got[3][1:3] == (140, 1)
+
+
 def test_repeats_in_small_alphabets(spark):
     dice = random.Random(4)
     base = ["".join(dice.choice("ab") for _ in range(400)) for _ in range(3)]

@@ -4,19 +4,22 @@ Texts are UTF-8 bytes, and no match crosses a text. Every window of `least` byte
 least hash in it. Equal windows have equal seeds, so the windows of one seed meet in one shard; what a run of windows of
 one seed spans is its context.
 
-1. Each task finds its seeds' contexts and keeps, of equal ones, the first; the others are repeats already. The hashes of
-   seed and context go to the seed's shard, where all but the first of equal contexts are repeats as well.
-2. Seeds with several contexts have windows that some contexts share and others don't. Their bytes go to the seed's shard,
-   which builds a suffix array of the windows with common-prefix lengths and walks its interval tree by a stack: intervals
-   of `least` or more whose occurrences differ to the left are the maximal repeats, reported with all occurrences. All
-   but the first of each are repeats. A seed with very many contexts (one in a common passage's edge) would fill one
-   shard, so its windows are dealt by their own hash instead.
-3. Repeats are joined to their texts, and the bytes that they cover are cut out or reported.
+1. Each task finds its seeds' contexts and folds equal ones into the first; the hashes of seed and context go to the
+   seed's shard, which folds what is equal there. All but the first of folded contexts are repeats; the first carries a
+   mark that it stands for several.
+2. The bytes of contexts that are marked, or whose seed has others, go to the seed's shard, which builds a suffix array of
+   the windows with common-prefix lengths and walks its interval tree by a stack: intervals of `least` or more whose
+   occurrences differ to the left are the maximal repeats, reported with all occurrences; a marked context is an interval
+   of its own. All but the first of each are repeats. A seed with very many contexts (one in a common passage's edge)
+   would fill one shard, so each of its windows goes by its own hash instead, and meets its equals in a suffix array there.
+3. Repeats are joined to their texts, and the bytes that they cover are cut out or reported. `groups` gives each maximal
+   repeat with every place of it, those of folded contexts included.
 
 Order is by (doc_id, start); null ids come first. Rows of one doc_id with different texts count as different documents,
 by a hash of their text; a row repeated in full is the same document, and gets the same answer. Null text counts as
-empty. Hashes of contexts have 112 bits with their seed's, of dealt windows 64. An empty table gives no rows; columns
-other than key and text pass through `without_repeats`.
+empty; texts of any length are worked on in overlapping parts. Folded contexts are told apart by hashes of 112 bits with
+their seed's; whatever meets in a suffix array is compared byte by byte. An empty table gives no rows; columns other than
+key and text pass through `without_repeats`.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .blocks import BLOCK, Hasher, column_bytes, give_back, group_starts, least_in_windows, spans
-from .packets import gather, split
+from .packets import gather, pack, split, unpack
 from .shared import lean, settle, table, tasks
 
 LEAST = 100
@@ -45,13 +48,18 @@ ARRAY = 1 << 20
 #: Bytes of a long text worked on at once.
 LONG = 4 << 20
 
-#: Columns of the packets: of contexts' hashes, of repeats, of contexts to resolve, of contexts' bytes, of windows.
-HASHED = ["<u4", "<u2", "<u4", "<u2", "<i8", "<i8", "<u4", "u1"]
+#: Columns of the packets: of contexts' hashes, of repeats, of contexts to resolve, of bytes.
+HASHED = ["<u4", "<u2", "<u4", "<u2", "<i8", "<i8", "<u4", "u1", "u1"]
 REPEATS = ["<i8", "<i8", "<u4", "<u4"]
 OPEN = ["<u8", "u1", "<i8", "<i8", "<u4", "u1"]
-WINDOWS = ["<u8", "<i8", "<i8", "<u4"]
+#: Key, document, start, bytes, mark, and the start of the context that it lies in.
+BYTES = ["<u8", "<i8", "<i8", "<u4", "<u4", "u1", "<u4"]
+#: A folded context's place and the place of what it was folded into.
+FOLDED = ["<i8", "<i8", "<u4", "<i8", "<i8", "<u4"]
 PACKET = "target int, kind int, blob binary"
-IS_HASHED, IS_REPEAT, IS_OPEN, IS_BYTES, IS_WINDOW = range(5)
+IS_HASHED, IS_REPEAT, IS_OPEN, IS_BYTES, IS_FOLDED = range(5)
+#: Marks of a context: its seed has very many, and it stands for several.
+HOT, TWICE = 1, 2
 
 
 def contexts(data: np.ndarray, offsets: np.ndarray, hasher: Hasher, least: int = LEAST, seed: int = SEED):
@@ -93,9 +101,9 @@ def text_parts(column, least: int) -> Iterator[tuple[int, int, int, np.ndarray,
     give_back()
 
 
-def maximal_repeats(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, least: int = LEAST) -> Iterator[tuple[int, np.ndarray]]:
+def maximal_repeats(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, least: int = LEAST, twice: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
     """(length, positions) of every maximal repeat of `least` or more bytes among the slices starts..ends: strings that occur
-    at two places or more, which no occurrence can extend to the left or right in common with all others."""
+    at two places or more, which no occurrence can extend to the left or right in common with all others. Slices marked in `twice` stand for several equal ones: such a slice is a repeat by itself, unless it is found within an interval of its length."""
     if not len(starts):
         return
     room = np.maximum(ends - starts - least + 1, 0)
@@ -107,9 +115,11 @@ def maximal_repeats(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, leas
     hashes = Hasher(keep=2 * ARRAY).load(data).slices(at, at + least)
     order = np.argsort(hashes, kind="stable")
     new = group_starts(hashes[order])
-    twice = ~new
-    twice[:-1] |= ~new[1:]
-    pick = order[twice]
+    met = ~new
+    met[:-1] |= ~new[1:]
+    if twice is not None:
+        met |= twice[of[order]] & (at[order] == starts[of[order]])
+    pick = order[met]
     at, of = at[pick], of[pick]
     if not len(at):
         return
@@ -126,6 +136,10 @@ def maximal_repeats(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, leas
     prefix = np.zeros(len(at) + 1, np.int64)
     prefix[1:-1] = _common(data, at[:-1], at[1:], np.minimum(limit[:-1], limit[1:]))
     left = np.where(at > starts[of], data[np.maximum(at - 1, 0)].astype(np.int64), -1)
+    if twice is not None:
+        whole = twice[of] & (at == starts[of])
+        for i in np.flatnonzero(whole & (prefix[:-1] < limit) & (prefix[1:] < limit)).tolist():
+            yield int(limit[i]), at[i : i + 1]
     stack: list[list[int]] = []  # [length, first, left byte or -1 if they differ]
     mark = left.tolist()
     for i, depth in enumerate(prefix[1:].tolist()):
@@ -205,7 +219,13 @@ def _later(keys: list[np.ndarray], doc: np.ndarray, tie: np.ndarray, at: np.ndar
     return order, new, ~new & ((d != d[head]) | (t != t[head]) | (a != a[head]))
 
 
-def find_contexts(least: int, seed: int, n: int):
+def _folded(order: np.ndarray, new: np.ndarray, later: np.ndarray, doc: np.ndarray, tie: np.ndarray, at: np.ndarray) -> tuple[list[int], list[bytes]]:
+    """Packets of what was folded, and into what."""
+    own, into = order[later], order[np.flatnonzero(new)[np.cumsum(new) - 1][later]]
+    return split(np.zeros(len(own), int), [doc[own], tie[own], at[own].astype("<u4"), doc[into], tie[into], at[into].astype("<u4")])
+
+
+def find_contexts(least: int, seed: int, n: int, groups: bool = False):
     """Step 1 of a task: from rows (doc, tie, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,12 +236,15 @@ def find_contexts(least: int, seed: int, n: int):
             h1, h2, doc, tie, at, count = (np.concatenate(x) for x in zip(*held))
             held.clear()
             order, new, later = _later([h1, h2], doc, tie, at)
+            several = np.zeros(len(order), bool)
+            several[order[np.flatnonzero(new)[np.cumsum(new) - 1][later]]] = True
             own = np.sort(order[new])
             gone = order[later]
             low, high = np.uint64(0xFFFFFFFF), np.uint64(0xFFFF)
             yield from _rows(
-                (IS_HASHED, split((h1[own] % np.uint64(n)).astype(np.int64), [(h1[own] >> np.uint64(16) & low).astype("<u4"), (h1[own] >> np.uint64(48)).astype("<u2"), (h2[own] & low).astype("<u4"), (h2[own] >> np.uint64(32) & high).astype("<u2"), doc[own], tie[own], at[own].astype("<u4"), count[own].astype("u1")])),
+                (IS_HASHED, split((h1[own] % np.uint64(n)).astype(np.int64), [(h1[own] >> np.uint64(16) & low).astype("<u4"), (h1[own] >> np.uint64(48)).astype("<u2"), (h2[own] & low).astype("<u4"), (h2[own] >> np.uint64(32) & high).astype("<u2"), doc[own], tie[own], at[own].astype("<u4"), count[own].astype("u1"), several[own].astype("u1")])),
                 (IS_REPEAT, split(_home(doc[gone], tie[gone], n), [doc[gone], tie[gone], at[gone].astype("<u4"), (count[gone] + least - 1).astype("<u4")])),
+                *([(IS_FOLDED, _folded(order, new, later, doc, tie, at))] if groups else []),
             )
 
         for batch in batches:
@@ -237,7 +260,7 @@ def find_contexts(least: int, seed: int, n: int):
     return run
 
 
-def match_contexts(least: int, n: int, many: int):
+def match_contexts(least: int, n: int, many: int, groups: bool = False):
     """Step 1 of a shard: from packets of contexts' hashes, repeats and contexts to resolve."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,7 +272,7 @@ def match_contexts(least: int, n: int, many: int):
                     blobs.append(blob.as_py())
                 else:
                     yield from _rows((int(kind), ([target], [blob.as_py()])))
-        low1, high1, low2, high2, doc, tie, at, count = gather(blobs, HASHED)
+        low1, high1, low2, high2, doc, tie, at, count, several = gather(blobs, HASHED)
         blobs.clear()
         if not len(doc):
             return
@@ -258,16 +281,18 @@ def match_contexts(least: int, n: int, many: int):
         order, new, later = _later([h1, h2], doc, tie, at)
         give_back()
         gone = order[later]
-        # the first of each context, for seeds that have several
+        # the first of each context: marked if it stands for several, open if so or if its seed has others
         kept = order[new]
+        twice = np.add.reduceat(later | (several[order] > 0), np.flatnonzero(new)) > 0
         seeds = np.cumsum(group_starts(h1[kept])) - 1
         size = np.bincount(seeds)[seeds]
-        several = size > 1
-        kept, hot = kept[several], (size[several] > many).astype("u1")
+        still = (size > 1) | twice
+        kept, marks = kept[still], (np.where(size > many, HOT, 0) | np.where(twice, TWICE, 0))[still].astype("u1")
         home = _home(doc[kept], tie[kept], n)
         yield from _rows(
             (IS_REPEAT, split(_home(doc[gone], tie[gone], n), [doc[gone], tie[gone], at[gone], (count[gone].astype("<u4") + (least - 1)).astype("<u4")])),
-            (IS_OPEN, split(home, [h1[kept], hot, doc[kept], tie[kept], at[kept], count[kept]])),
+            (IS_OPEN, split(home, [h1[kept], marks, doc[kept], tie[kept], at[kept], count[kept]])),
+            *([(IS_FOLDED, _folded(order, new, later, doc, tie, at))] if groups else []),
         )
 
     return run
@@ -296,8 +321,16 @@ def _by_place(doc: np.ndarray, tie: np.ndarray, at: np.ndarray) -> tuple[np.ndar
     return order, {(int(d[a]), int(t[a])): (a, b) for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(d)])}
 
 
-def fetch_contexts(least: int, n: int):
-    """Step 2 of a task: from contexts to resolve, then documents; to contexts' bytes by seed, or windows by hash."""
+def _distinct_windows(hashes: np.ndarray, doc: np.ndarray, tie: np.ndarray, at: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which windows to send on, and which equal, byte by byte, one that is sent and comes before them."""
+    order, new, later = _later([hashes], doc, tie, at)
+    head = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    same = (windows[order] == windows[head]).all(axis=1)
+    return order[new | ~same], order[later & same]
+
+
+def fetch_contexts(least: int, n: int, groups: bool = False):
+    """Step 2 of a task: from contexts to resolve, then documents; to contexts' bytes by seed, or windows' by hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(keep=LONG + least)
@@ -306,93 +339,159 @@ def fetch_contexts(least: int, n: int):
         for blobs, docs in _documents(batches):
             if docs is None:
                 if blobs:
-                    h1, hot, doc, tie, at, count = gather(blobs, OPEN)
+                    h1, marks, doc, tie, at, count = gather(blobs, OPEN)
                     order, where = _by_place(doc, tie, at)
-                    h1, hot, at, count = h1[order], hot[order], at[order].astype(np.int64), count[order].astype(np.int64)
+                    h1, marks, at, count = h1[order], marks[order], at[order].astype(np.int64), count[order].astype(np.int64)
                 continue
-            shards: dict[int, list] = {}
+            heads: list[tuple[np.ndarray, ...]] = []
+            bodies: list[np.ndarray] = []
+            hot: list[tuple[np.ndarray, ...]] = []
             ids, ties = _numbers(docs.column(docs.schema.get_field_index("doc"))), _numbers(docs.column(docs.schema.get_field_index("tie")))
             texts = docs.column(docs.schema.get_field_index("text"))
-            windows: list[tuple[np.ndarray, ...]] = []
             for k, place in enumerate(zip(ids.tolist(), ties.tolist())):
                 if place not in where or place in seen:
                     continue
                 seen.add(place)
-                a, b = where[place]
-                text = (texts[k].as_py() or "").encode()
-                for r in range(a, b):
-                    if not hot[r]:
-                        shards.setdefault(int(h1[r] % np.uint64(n)), []).append((int(h1[r]), place[0], place[1], int(at[r]), text[at[r] : at[r] + count[r] + least - 1]))
-                if hot[a:b].any():
-                    rows = a + np.flatnonzero(hot[a:b])
-                    begin = np.concatenate([np.arange(at[r], at[r] + count[r]) for r in rows])
-                    got = hasher.load(np.frombuffer(text, np.uint8)).slices(begin, begin + least)
-                    windows.append((got, np.full(len(got), place[0]), np.full(len(got), place[1]), begin.astype("<u4")))
-            for target, rows in shards.items():
-                size = np.array([len(x[4]) for x in rows], "<u4")
-                head = split(np.zeros(len(rows), int), [np.array([x[0] for x in rows], "<u8"), np.array([x[1] for x in rows], "<i8"), np.array([x[2] for x in rows], "<i8"), np.array([x[3] for x in rows], "<u4"), size])[1][0]
-                body = b"".join(x[4] for x in rows)
-                yield from _rows((IS_BYTES, ([target], [np.array([len(head)], "<i8").tobytes() + head + split(np.zeros(len(body), int), [np.frombuffer(body, np.uint8)])[1][0]])))
-            if windows:
-                got, doc_, tie_, begin = (np.concatenate(x) for x in zip(*windows))
-                yield from _rows((IS_WINDOW, split((got % np.uint64(n)).astype(np.int64), [got, doc_, tie_, begin])))
+                rows = np.arange(*where[place])
+                text = np.frombuffer((texts[k].as_py() or "").encode(), np.uint8)
+                is_hot = (marks[rows] & HOT) > 0
+                cold = rows[~is_hot]
+                size = count[cold] + least - 1
+                heads.append((h1[cold], np.full(len(cold), place[0]), np.full(len(cold), place[1]), at[cold], size, marks[cold], at[cold]))
+                bodies.append(text[np.repeat(at[cold] - np.cumsum(size) + size, size) + np.arange(size.sum())])
+                if is_hot.any():
+                    rows = rows[is_hot]
+                    begin = np.repeat(at[rows] - np.cumsum(count[rows]) + count[rows], count[rows]) + np.arange(count[rows].sum())
+                    found = hasher.load(text).slices(begin, begin + least)
+                    hot.append((found, np.full(len(begin), place[0]), np.full(len(begin), place[1]), begin, np.repeat(marks[rows], count[rows]), np.repeat(at[rows], count[rows]), text[begin[:, None] + np.arange(least)]))
+            if hot:
+                found, doc_, tie_, begin, mark, context, windows = (np.concatenate(x) for x in zip(*hot))
+                if groups:
+                    kept = np.arange(len(found))
+                else:
+                    kept, gone = _distinct_windows(found, doc_, tie_, begin, windows)
+                    yield from _rows((IS_REPEAT, split(_home(doc_[gone], tie_[gone], n), [doc_[gone], tie_[gone], begin[gone].astype("<u4"), np.full(len(gone), least, "<u4")])))
+                heads.append((found[kept], doc_[kept], tie_[kept], begin[kept], np.full(len(kept), least), mark[kept], context[kept]))
+                bodies.append(windows[kept].ravel())
+            if heads:
+                columns = [np.concatenate(x) for x in zip(*heads)]
+                data = np.concatenate(bodies)
+                starts = np.cumsum(columns[4]) - columns[4]
+                target = (columns[0] % np.uint64(n)).astype(np.int64)
+                order = np.argsort(target, kind="stable")
+                edge = np.append(np.flatnonzero(group_starts(target[order])), len(order)) if len(order) else np.zeros(1, int)
+                for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
+                    mine = order[a:b]
+                    size = columns[4][mine]
+                    body = data[np.repeat(starts[mine] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+                    head = pack([c[mine].astype(t) for c, t in zip(columns, BYTES)])
+                    yield from _rows((IS_BYTES, ([int(target[mine[0]])], [np.array([len(head)], "<i8").tobytes() + head + pack([body])])))
 
     return run
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Of a shard's packets: key, document, start, size, mark and context of each slice, its place in the bytes, and the bytes, in ranges of whole keys of about ARRAY bytes."""
+    parts: list[tuple[list[np.ndarray], np.ndarray]] = []
+    for batch in batches:
+        for blob in batch.column(2):
+            raw = blob.as_py()
+            cut = 8 + int(np.frombuffer(raw[:8], "<i8")[0])
+            parts.append((unpack(raw[8:cut], BYTES), unpack(raw[cut:], ["u1"])[0]))
+    if not parts:
+        return
+    columns = [np.concatenate([p[0][i] for p in parts]) for i in range(len(BYTES))]
+    data = np.concatenate([p[1] for p in parts])
+    parts.clear()
+    h1, doc, tie, at, size, marks, context = columns
+    size = size.astype(np.int64)
+    starts = np.cumsum(size) - size
+    order = np.argsort(h1, kind="stable")
+    edge = np.append(np.flatnonzero(group_starts(h1[order])), len(order))
+    total = np.concatenate(([0], np.cumsum(size[order])))
+    g = 0
+    while g < len(edge) - 1:
+        e = max(g + 1, int(np.searchsorted(total[edge], total[edge[g]] + ARRAY, "right")) - 1)
+        rows = order[edge[g] : edge[e]]
+        g = e
+        lengths = size[rows]
+        begin = np.cumsum(lengths) - lengths
+        text = data[np.repeat(starts[rows] - begin, lengths) + np.arange(lengths.sum())]
+        yield doc[rows], tie[rows], at[rows].astype(np.int64), lengths, (marks[rows] & TWICE) > 0, context[rows], begin, text
+
+
 def resolve(least: int, n: int):
-    """Step 2 of a shard: from contexts' bytes and windows to repeats."""
+    """Step 2 of a shard: from bytes to repeats."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[tuple[list[np.ndarray], np.ndarray]] = []
-        blobs: list[bytes] = []
-        for batch in batches:
-            for kind, blob in zip(batch.column(1).to_numpy(), batch.column(2)):
-                raw = blob.as_py()
-                if kind == IS_WINDOW:
-                    blobs.append(raw)
-                else:
-                    cut = 8 + int(np.frombuffer(raw[:8], "<i8")[0])
-                    parts.append((gather([raw[8:cut]], ["<u8", "<i8", "<i8", "<u4", "<u4"]), gather([raw[cut:]], ["u1"])[0]))
-        if blobs:
-            h, doc, tie, at = gather(blobs, WINDOWS)
-            blobs.clear()
-            order, _, later = _later([h], doc, tie, at)
-            gone = order[later]
-            yield from _rows((IS_REPEAT, split(_home(doc[gone], tie[gone], n), [doc[gone], tie[gone], at[gone], np.full(len(gone), least, "<u4")])))
-        if not parts:
-            return
-        h1, doc, tie, at, size = (np.concatenate([p[0][i] for p in parts]) for i in range(5))
-        data = np.concatenate([p[1] for p in parts])
-        parts.clear()
-        starts = np.concatenate(([0], np.cumsum(size.astype(np.int64))))[:-1]
-        order = np.argsort(h1, kind="stable")
-        edge = np.append(np.flatnonzero(group_starts(h1[order])), len(order))
-        total = np.concatenate(([0], np.cumsum(size[order].astype(np.int64))))
-        g = 0
-        while g < len(edge) - 1:
-            # whole seeds up to about ARRAY bytes
-            e = max(g + 1, int(np.searchsorted(total[edge], total[edge[g]] + ARRAY, "right")) - 1)
-            rows = order[edge[g] : edge[e]]
-            g = e
-            lengths = size[rows].astype(np.int64)
-            begin = np.concatenate(([0], np.cumsum(lengths)))
-            text = np.concatenate([data[starts[r] : starts[r] + size[r]] for r in rows])
+        def kept() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                kinds = batch.column(1).to_numpy()
+                passed.append(batch.filter(pa.array(kinds == IS_REPEAT)))
+                yield batch.filter(pa.array(kinds == IS_BYTES))
+
+        passed: list[pa.RecordBatch] = []
+        for doc, tie, at, lengths, twice, _, begin, text in _slices(kept()):
+            yield from passed
+            passed.clear()
             out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-            for length, places in maximal_repeats(text, begin[:-1], begin[1:], least):
-                of = np.searchsorted(begin, places, "right") - 1
-                row = rows[of]
-                pos = at[row].astype(np.int64) + places - begin[of]
+            for length, places in maximal_repeats(text, begin, begin + lengths, least, twice):
+                if len(places) < 2:
+                    continue
+                row = np.searchsorted(begin, places, "right") - 1
+                pos = at[row] + places - begin[row]
                 first = np.lexsort((pos, tie[row], doc[row]))[0]
                 after = (doc[row] != doc[row[first]]) | (tie[row] != tie[row[first]]) | (pos != pos[first])
                 out.append((row[after], pos[after], np.full(int(after.sum()), length)))
             if out:
                 row, pos, length = (np.concatenate(x) for x in zip(*out))
                 yield from _rows((IS_REPEAT, split(_home(doc[row], tie[row], n), [doc[row], tie[row], pos.astype("<u4"), length.astype("<u4")])))
+        yield from passed
+        give_back()
+
+    return run
+
+
+GROUP = "group_id long, length long, doc long, tie long, context long, shift long"
+
+
+def name_groups(least: int):
+    """From bytes to the places of every maximal repeat: its number is a hash of its bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for doc, tie, at, lengths, twice, context, begin, text in _slices(batches):
+            rows: list[tuple[np.ndarray, ...]] = []
+            for length, places in maximal_repeats(text, begin, begin + lengths, least, twice):
+                row = np.searchsorted(begin, places, "right") - 1
+                number = int.from_bytes(hashlib.blake2b(text[places[0] : places[0] + length].tobytes(), digest_size=8).digest(), "little", signed=True)
+                rows.append((np.full(len(places), number), np.full(len(places), length), doc[row], tie[row], context[row], at[row] + places - begin[row] - context[row]))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*rows)], names=[f.split()[0] for f in GROUP.split(", ")])
 
     return run
 
 
+def groups(df: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST, seed: int = SEED, many: int = MANY) -> DataFrame:
+    """Every maximal repeat among the windows of one seed, with all its places: group_id, length, the document's key, start. Places in folded contexts come by joins from the contexts that they were folded into, so no group is gathered anywhere."""
+    n = tasks(lean(df.sparkSession))
+    found, bytes_ = _opened(df, n, key, text, least, seed, many, True)
+    places = settle(bytes_.where(F.col("kind") == IS_BYTES).repartitionById(n, "target").mapInArrow(name_groups(least), GROUP))
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob in batch.column(2):
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in gather([blob.as_py()], FOLDED)], names=["doc", "tie", "at", "doc_", "tie_", "context"])
+
+    folded = settle(found.where(F.col("kind") == IS_FOLDED).mapInArrow(pairs, "doc long, tie long, at long, doc_ long, tie_ long, context long"))
+    # a context folded in a task went into one that may have been folded in the shard
+    again = folded.select(F.col("doc").alias("doc_"), F.col("tie").alias("tie_"), F.col("at").alias("context"), F.col("doc_").alias("doc__"), F.col("tie_").alias("tie__"), F.col("context").alias("context__"))
+    folded = folded.join(again, ["doc_", "tie_", "context"], "left").select("doc", "tie", "at", *[F.coalesce(f"{c}__", f"{c}_" if c != "context" else c).alias(f"{c}_") for c in ("doc", "tie", "context")])
+    others = places.select("group_id", "length", F.col("doc").alias("doc_"), F.col("tie").alias("tie_"), F.col("context").alias("context_"), "shift").join(folded, ["doc_", "tie_", "context_"])
+    all_ = places.select("group_id", "length", "doc", "tie", (F.col("context") + F.col("shift")).alias("start")).unionByName(others.select("group_id", "length", "doc", "tie", (F.col("at") + F.col("shift")).alias("start")))
+    null = F.lit(-(2**63)).cast("long")
+    return all_.distinct().select("group_id", "length", F.when(F.col("doc") != null, F.col("doc")).alias(key), "start")
+
+
 def _dealt(df: DataFrame, n: int, key: str, text: str) -> DataFrame:
     """Rows with their document's number, tie-breaker and home, apart from their own columns in `row`."""
     body = F.coalesce(F.col(text), F.lit(""))
@@ -401,16 +500,21 @@ def _dealt(df: DataFrame, n: int, key: str, text: str) -> DataFrame:
     return at.withColumn("target", F.pmod(F.coalesce("doc", null).bitwiseXOR(F.col("tie")), F.lit(n).cast("long")).cast("int"))
 
 
-def repeats(df: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST, seed: int = SEED, many: int = MANY) -> DataFrame:
-    """Packets of all repeats, by their document's home; for `joined`."""
-    n = tasks(lean(df.sparkSession))
+def _opened(df: DataFrame, n: int, key: str, text: str, least: int, seed: int, many: int, groups: bool) -> tuple[DataFrame, DataFrame]:
+    """Packets of step 1, and of the bytes that step 2 resolves."""
     docs = _dealt(df, n, key, text)
-    sent = docs.select("doc", "tie", "text").mapInArrow(find_contexts(least, seed, n), PACKET)
-    found = settle(sent.repartitionById(n, "target").mapInArrow(match_contexts(least, n, many), PACKET))
+    sent = docs.select("doc", "tie", "text").mapInArrow(find_contexts(least, seed, n, groups), PACKET)
+    found = settle(sent.repartitionById(n, "target").mapInArrow(match_contexts(least, n, many, groups), PACKET))
     asked = found.where(F.col("kind") == IS_OPEN).select("target", "kind", "blob", F.lit(None).cast("long").alias("doc"), F.lit(None).cast("long").alias("tie"), F.lit(None).cast("string").alias("text"))
     rows = docs.select("target", F.lit(-1).alias("kind"), F.lit(None).cast("binary").alias("blob"), "doc", "tie", "text")
     both = asked.unionByName(rows).repartitionById(n, "target").sortWithinPartitions(F.desc("kind"))
-    bytes_ = both.mapInArrow(fetch_contexts(least, n), PACKET)
+    return found, both.mapInArrow(fetch_contexts(least, n, groups), PACKET)
+
+
+def repeats(df: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST, seed: int = SEED, many: int = MANY) -> DataFrame:
+    """Packets of all repeats, by their document's home; for `joined`."""
+    n = tasks(lean(df.sparkSession))
+    found, bytes_ = _opened(df, n, key, text, least, seed, many, False)
     resolved = settle(bytes_.repartitionById(n, "target").mapInArrow(resolve(least, n), PACKET))
     return found.where(F.col("kind") == IS_REPEAT).unionByName(resolved)
 
