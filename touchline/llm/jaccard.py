@@ -12,14 +12,15 @@ Which signatures a set needs is a matter of cost:
 - and if that is too little, its empty segments as well.
 Each step is taken by both sets of a pair or isn't needed, so none is missed.
 
-Sets with equal signatures are candidates of the member that is in most such groups; exact sets decide. Members of one
-group that are in different components afterwards are compared with each other too, unless counts of their shingles by
-hash prove them too far apart. Equal sets are one node from the start, so copies cost
-nothing but their own row.
+Sets with equal signatures are candidates of the member that is in most such groups, unless sizes or sketches (counts of
+their shingles by hash) prove them too far apart; whole sets of 64-bit hashes decide. Members of one group that are in
+different components afterwards are compared with each other too, in blocks, sketches first. Equal sets are one node from
+the start, so copies cost nothing but their own row.
 
 Words are runs of other than ASCII white space, A-Z lower-cased. Fewer than five words form one shingle. Null and empty
 texts, and texts of white space, have no shingle and link with nothing. Rows with equal ids are documents of their own;
-null ids count only where a component has no other. An empty table gives no rows; extra columns are not read.
+null ids count only where a component has no other. Very long texts are sets like others; an empty table gives no rows;
+extra columns are not read.
 """
 
 from __future__ import annotations
@@ -33,8 +34,8 @@ from pyspark.sql import functions as F
 
 from .blocks import LOWER, Hasher, give_back, group_starts, mix, text_blocks, words
 from .components import components
-from .packets import gather, split
-from .shared import lean, settle, table, tasks
+from .packets import gather, pack, split, unpack
+from .shared import lean, lookup, settle, table, tasks
 
 WORDS = 5
 #: Similarity of at least NUMERATOR / 100.
@@ -51,7 +52,7 @@ HELD = 500_000
 
 IS_SIGNED, IS_NODE = 0, 1
 PACKET = "target int, kind int, blob binary"
-SIGNED, NODES = ["<u4", "<u8"], ["<i8", "<u8", "<u4"]
+SIGNED, NODES = ["<u4", "<u8"], ["<i8", "<u8", "<u4", "<u4"]
 
 
 def shingle_sets(column, size: int = WORDS) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -208,14 +209,34 @@ def _rows(*packets: tuple[int, tuple[list[int], list[bytes]]]) -> Iterator[pa.Re
             yield pa.RecordBatch.from_arrays([pa.array(targets, pa.int32()), pa.array([kind] * len(targets), pa.int32()), pa.array(blobs, pa.binary())], names=["target", "kind", "blob"])
 
 
+def _nodes(doc: np.ndarray, node: np.ndarray, size: np.ndarray, sketches: list[bytes], n: int) -> tuple[list[int], list[bytes]]:
+    """Packets of documents by their node: columns, and the sketches one after another."""
+    target = (node % np.uint64(n)).astype(np.int64)
+    order = np.argsort(target, kind="stable")
+    edge = np.append(np.flatnonzero(group_starts(target[order])), len(order)).tolist()
+    blobs = []
+    for a, b in zip(edge, edge[1:]):
+        mine = order[a:b]
+        head = pack([doc[mine], node[mine], size[mine], np.array([len(sketches[k]) for k in mine], "<u4")])
+        blobs.append(np.array([len(head)], "<i8").tobytes() + head + pack([np.frombuffer(b"".join(sketches[k] for k in mine), np.uint8)]))
+    return target[order[edge[:-1]]].tolist(), blobs
+
+
+def _read_nodes(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    cut = 8 + int(np.frombuffer(blob[:8], "<i8")[0])
+    doc, node, size, width = unpack(blob[8:cut], NODES)
+    ends = np.concatenate(([0], np.cumsum(width))).astype(np.int32)
+    return doc, node, size, pa.BinaryArray.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(ends), pa.py_buffer(unpack(blob[cut:], ["u1"])[0].tobytes())])
+
+
 def sign(common, n: int):
-    """From rows (doc, text) to packets of signatures, and of each document's node and size."""
+    """From rows (doc, text) to packets of signatures, and of each document's node, size and sketch (of equal ones in a task, the first's)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands()
         frequent = common.value
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        docs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        docs: list[tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]] = []
         seen: set[int] = set()
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -223,8 +244,8 @@ def sign(common, n: int):
                 sig, node = (np.concatenate(x) for x in zip(*held))
                 yield from _rows((IS_SIGNED, split((sig % np.uint64(n)).astype(np.int64), [(sig >> np.uint64(32)).astype("<u4"), node])))
             if docs:
-                doc, node, size = (np.concatenate(x) for x in zip(*docs))
-                yield from _rows((IS_NODE, split((node % np.uint64(n)).astype(np.int64), [doc, node, size])))
+                doc, node, size = (np.concatenate(x) for x in list(zip(*docs))[:3])
+                yield from _rows((IS_NODE, _nodes(doc, node, size, [s for x in docs for s in x[3]], n)))
             held.clear()
             docs.clear()
             give_back()
@@ -234,8 +255,11 @@ def sign(common, n: int):
             for i, sets in shingle_sets(batch.column(1)):
                 size = np.array([*map(len, sets)], "<u4")
                 node = np.array([node_of(s) for s in sets], np.uint64)
-                docs.append((ids[i : i + len(sets)], node, size))
                 fresh = [k for k, x in enumerate(node.tolist()) if x not in seen and not seen.add(x)]
+                sketches = [b""] * len(sets)
+                for k in fresh:
+                    sketches[k] = sketch(sets[k]) if size[k] >= bands.least else b""
+                docs.append((ids[i : i + len(sets)], node, size, sketches))
                 sig, of = signatures([sets[k] for k in fresh], frequent, bands)
                 held.append((sig, node[np.array(fresh, int)[of]] if len(of) else np.empty(0, np.uint64)))
                 if sum(len(x[0]) for x in held) > HELD:
@@ -247,18 +271,20 @@ def sign(common, n: int):
     return run
 
 
-#: What a shard tells: documents (doc, node, n), pairs (a, b) of groups of two, members (group, node) of larger groups.
-TOLD_SCHEMA = "kind int, a long, b long, n int"
+#: What a shard tells: documents (doc, node, n, sketch), pairs (a, b) of groups of two, members (group, node) of larger groups.
+TOLD_SCHEMA = "kind int, a long, b long, n int, data binary"
 IS_DOC, IS_PAIR, IS_MEMBER = range(3)
 
 
 def meet():
     """From packets to documents, the pairs that alone have a signature in common, and members of larger groups."""
 
-    def table_of(kind: int, a: np.ndarray, b: np.ndarray, n: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
-        for i in range(0, len(a), 100_000):
-            size = len(a[i : i + 100_000])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(size, kind, np.int32)), pa.array(a[i : i + size].astype(np.int64)), pa.array(b[i : i + size].astype(np.int64)), pa.array((n[i : i + size] if n is not None else np.zeros(size)).astype(np.int32))], names=["kind", "a", "b", "n"])
+    def table_of(kind: int, a: np.ndarray, b: np.ndarray, n: np.ndarray | None = None, data: pa.Array | None = None) -> Iterator[pa.RecordBatch]:
+        step = 100_000 if data is None else 10_000
+        for i in range(0, len(a), step):
+            size = len(a[i : i + step])
+            columns = [np.full(size, kind, np.int32), a[i : i + size].astype(np.int64), b[i : i + size].astype(np.int64), (n[i : i + size] if n is not None else np.zeros(size)).astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.nulls(size, pa.binary()) if data is None else data.slice(i, size)], names=["kind", "a", "b", "n", "data"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signed: list[bytes] = []
@@ -267,7 +293,7 @@ def meet():
                 if kind == IS_SIGNED:
                     signed.append(blob.as_py())
                 else:
-                    yield from table_of(IS_DOC, *gather([blob.as_py()], NODES))
+                    yield from table_of(IS_DOC, *_read_nodes(blob.as_py()))
         sig, node = gather(signed, SIGNED)
         signed.clear()
         if not len(sig):
@@ -304,34 +330,40 @@ def meet():
     return run
 
 
-#: Bits of the filter that keeps unasked documents out of a shuffle: a fixed number, so it passes more of them as more are asked for.
-BLOOM_SLICES, BLOOM_BITS = 64, 1 << 17
+#: Documents up to which a filter keeps others out of a shuffle, and its bits for each; beyond, all are shuffled.
+ASKED, BITS = 1 << 26, 16
 
 
 def asked_only(docs: DataFrame, asked: DataFrame) -> DataFrame:
-    """Rows of docs whose `doc` may be in asked; none that is gets lost."""
+    """Rows of docs whose `doc` may be in asked; none that is gets lost. The filter grows with what is asked for, up to 128 MB."""
+    n = asked.count()
+    if n > ASKED:
+        return docs
+    bits = 1 << max(10, (n * BITS - 1).bit_length() - 1)
+    slices = min(tasks(docs.sparkSession), bits >> 8)
     place = lambda df: df.withColumn("_hash", F.xxhash64("doc"))
-    at = place(asked).select(F.pmod("_hash", F.lit(BLOOM_SLICES)).cast("int").alias("slice"), F.pmod(F.shiftright("_hash", 8), F.lit(BLOOM_BITS)).cast("int").alias("bit"))
+    at = place(asked).select(F.pmod("_hash", F.lit(slices)).cast("int").alias("slice"), F.pmod(F.shiftright("_hash", 16), F.lit(bits // slices)).cast("int").alias("bit"))
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slices: dict[int, np.ndarray] = {}
+        found: dict[int, np.ndarray] = {}
         for batch in batches:
             which, bit = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for k in np.unique(which).tolist():
-                slices.setdefault(k, np.zeros(BLOOM_BITS, bool))[bit[which == k]] = True
-        for k, bits in slices.items():
-            yield pa.RecordBatch.from_pydict({"slice": pa.array([k], pa.int32()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+                found.setdefault(k, np.zeros(bits // slices, bool))[bit[which == k]] = True
+        for k, marks in found.items():
+            yield pa.RecordBatch.from_pydict({"slice": pa.array([k], pa.int32()), "bits": pa.array([np.packbits(marks).tobytes()], pa.binary())})
 
-    bits = np.zeros((BLOOM_SLICES, BLOOM_BITS), bool)
-    for r in at.repartitionById(min(BLOOM_SLICES, tasks(docs.sparkSession)), F.pmod("slice", F.lit(min(BLOOM_SLICES, tasks(docs.sparkSession))))).mapInArrow(fill, "slice int, bits binary").toLocalIterator():
-        bits[r["slice"]] |= np.unpackbits(np.frombuffer(r["bits"], np.uint8)).astype(bool)
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bits, axis=1))
+    filled = np.zeros((slices, -(-(bits // slices) // 8)), np.uint8)
+    for r in at.repartitionById(slices, "slice").mapInArrow(fill, "slice int, bits binary").toLocalIterator():
+        filled[r["slice"]] = np.frombuffer(r["bits"], np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(filled)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.unpackbits(shared.value, axis=1).astype(bool)
+        known = shared.value
         for batch in batches:
             h = batch.column(batch.schema.get_field_index("_hash")).to_numpy()
-            yield batch.filter(pa.array(known[h % BLOOM_SLICES, (h >> 8) % BLOOM_BITS]))
+            bit = (h >> 16) % (bits // slices)
+            yield batch.filter(pa.array(known[h % slices, bit >> 3] >> (7 - (bit & 7)) & 1 > 0))
 
     hashed = place(docs)
     return hashed.mapInArrow(keep, hashed.schema).drop("_hash")
@@ -339,11 +371,10 @@ def asked_only(docs: DataFrame, asked: DataFrame) -> DataFrame:
 
 #: Counts of shingles by hash, for a bound on how far two sets differ: as many counts as LONG for sets larger than MANY.
 SHORT, LONG, MANY = 256, 1024, 500
-#: Sets that a hub is compared with in one place.
-SALT = 4_000
-IS_HUB, IS_OTHER, IS_SKETCH = range(3)
-SHIPPED = "to long, salt int, role int, node long, n int, data binary"
-VERIFIED = "role int, a long, b long, n int, data binary"
+#: Sets that a hub is compared with in one place, and members of a group that are compared in one.
+SALT, MEMBERS = 4_000, 2_000
+IS_HUB, IS_OTHER = range(2)
+SHIPPED = "to long, salt int, role int, node long, data binary"
 
 
 def sketch(shingles: np.ndarray) -> bytes:
@@ -351,101 +382,121 @@ def sketch(shingles: np.ndarray) -> bytes:
     return np.minimum(np.bincount((shingles >> np.uint64(40)).astype(np.int64) & (width - 1), minlength=width), 255).astype(np.uint8).tobytes()
 
 
+def apart(sketches_a: list[bytes], sketches_b: list[bytes]) -> np.ndarray:
+    """For each pair of sketches, the shingles that the two sets have on one side only, at least. Counts above 255 count as 255, which lowers the bound only."""
+    out = np.zeros(len(sketches_a), np.int64)
+    narrow = np.array([min(len(x), len(y)) for x, y in zip(sketches_a, sketches_b)], np.int64)
+    for width in np.unique(narrow).tolist():
+        rows = np.flatnonzero(narrow == width)
+        x, y = (_folded([s[i] for i in rows.tolist()], width) for s in (sketches_a, sketches_b))
+        out[rows] = np.abs(x - y).sum(axis=1)
+    return out
+
+
+def _folded(sketches: list[bytes], width: int) -> np.ndarray:
+    out = np.zeros((len(sketches), width), np.int16)
+    wide = np.array([len(x) for x in sketches])
+    for w in np.unique(wide).tolist():
+        rows = np.flatnonzero(wide == w)
+        flat = np.frombuffer(b"".join(sketches[i] for i in rows.tolist()), np.uint8).reshape(len(rows), -1, width)
+        out[rows] = flat.sum(axis=1, dtype=np.int16)
+    return out
+
+
+def likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) that neither sizes nor sketches prove too far apart. nodes: (node, n, data)."""
+    bands = Bands()
+    side = lambda s: nodes.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("data").alias(f"data_{s}"))
+    sized = lookup(lookup(pairs.select("a", "b"), side("a").drop("data_a"), "a"), side("b"), "b").where(f"100 * least(n_a, n_b) >= {NUMERATOR} * greatest(n_a, n_b)")
+    both = lookup(sized, side("a").drop("n_a"), "a").select("a", "b", "n_a", "n_b", "data_a", "data_b")
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, len(batch), 512):
+                part = batch.slice(i, 512)
+                n_a, n_b = (part.column(c).to_numpy().astype(np.int64) for c in (2, 3))
+                near = apart(part.column(4).to_pylist(), part.column(5).to_pylist()) <= bands.differ(n_a, n_b)
+                yield part.select(["a", "b"]).filter(pa.array(near))
+
+    return settle(both.mapInArrow(test, "a long, b long"))
+
+
 def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (node, places, text) to each place's copy of the set, and one sketch."""
+    """From (node, places, text) to each place's copy of the set."""
     for batch in batches:
         nodes, places = batch.column(0).to_pylist(), batch.column(1)
         for i, sets in shingle_sets(batch.column(2)):
             rows = []
             for k, s in enumerate(sets):
-                if np.uint64(node_of(s)).astype(np.int64) != nodes[i + k]:
-                    continue
-                data = _five(s)
-                rows += [(p["to"], p["salt"], p["role"], nodes[i + k], len(s), data) for p in places[i + k].as_py()]
-                rows.append((nodes[i + k], 0, IS_SKETCH, nodes[i + k], len(s), sketch(s)))
+                if np.uint64(node_of(s)).astype(np.int64) == nodes[i + k]:
+                    data = s.tobytes()
+                    rows += [(p["to"], p["salt"], p["role"], nodes[i + k], data) for p in places[i + k].as_py()]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary()))], names=["to", "salt", "role", "node", "n", "data"])
-
-
-def _five(values: np.ndarray) -> bytes:
-    """Sorted 40-bit hashes: two sets of a thousand share one by chance in a million pairs."""
-    return np.ascontiguousarray(np.sort(values >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
-
-
-def _eight(raw: bytes) -> np.ndarray:
-    five = np.frombuffer(raw, np.uint8).reshape(-1, 5)
-    out = np.zeros((len(five), 8), np.uint8)
-    out[:, :5] = five
-    return out.view("<u8").ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()))], names=["to", "salt", "role", "node", "data"])
 
 
 def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From sets sorted by place and role to the links of each hub; sketches pass."""
+    """From whole sets of 64-bit hashes, sorted by place and role, to the links of each hub."""
     place, hub = None, np.empty(0, np.uint64)
     for batch in batches:
         role = batch.column(2).to_numpy()
         rows: list[tuple] = []
-        to, salt, node, n, data = (batch.column(i) for i in (0, 1, 3, 4, 5))
+        to, salt, node, data = (batch.column(i) for i in (0, 1, 3, 4))
         for i in range(len(batch)):
-            if role[i] == IS_SKETCH:
-                rows.append((IS_SKETCH, node[i].as_py(), 0, n[i].as_py(), data[i].as_py()))
-            elif role[i] == IS_HUB:
-                place, hub = (to[i].as_py(), salt[i].as_py()), _eight(data[i].as_py())
-            elif place == (to[i].as_py(), salt[i].as_py()):
-                other = _eight(data[i].as_py())
+            here = to[i].as_py(), salt[i].as_py()
+            if role[i] == IS_HUB:
+                place, hub = here, np.frombuffer(data[i].as_py(), np.uint64)
+            elif place == here:
+                other = np.frombuffer(data[i].as_py(), np.uint64)
                 both = np.intersect1d(hub, other, assume_unique=True).size
                 if 100 * both >= NUMERATOR * (len(hub) + len(other) - both):
-                    rows.append((IS_OTHER, place[0], node[i].as_py(), 0, None))
+                    rows.append((here[0], node[i].as_py()))
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["role", "a", "b", "n", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["a", "b"])
 
 
-def verified(df: DataFrame, pairs: DataFrame, nodes: DataFrame, key: str, text: str, also: DataFrame | None = None) -> DataFrame:
-    """Links among distinct pairs (a, b), where many pairs may share an a, and sketches of all their nodes. nodes: (node, doc, n), a document that has the node's set, and its size. Sizes alone rule out many pairs. also: (node), further nodes whose sketches are asked for. A set is sent to each of its hubs once, and a hub's own set to as many places as its partners fill."""
+def verified(df: DataFrame, pairs: DataFrame, nodes: DataFrame, key: str, text: str) -> DataFrame:
+    """Links among distinct pairs (a, b), where many pairs may share an a. nodes: (node, doc), a document that has the node's set. A set is sent to each of its hubs once, and a hub's own set to as many places as its partners fill."""
     n = tasks(df.sparkSession)
-    sizes = nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"))
-    pairs = pairs.join(sizes, "a").join(sizes.toDF("b", "n_b"), "b").where(f"100 * least(n_a, n_b) >= {NUMERATOR} * greatest(n_a, n_b)").select("a", "b")
     salts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SALT).cast("int").alias("salts"))
-    others = pairs.join(salts, "a").select(F.col("b").alias("node"), F.col("a").alias("to"), F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.lit(IS_OTHER).alias("role"))
+    others = lookup(pairs, salts, "a").select(F.col("b").alias("node"), F.col("a").alias("to"), F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.lit(IS_OTHER).alias("role"))
     hubs = salts.select(F.col("a").alias("node"), F.col("a").alias("to"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(IS_HUB).alias("role"))
-    sent_to = others.unionByName(hubs)
-    if also is not None:
-        sent_to = sent_to.unionByName(also.select("node").distinct(), allowMissingColumns=True)
-    wanted = sent_to.groupBy("node").agg(F.filter(F.collect_list(F.struct("to", "salt", "role")), lambda x: x["to"].isNotNull()).alias("places"))
+    wanted = others.unionByName(hubs).groupBy("node").agg(F.collect_list(F.struct("to", "salt", "role")).alias("places"))
     wanted = settle(wanted.join(nodes.select("node", "doc"), "node"))
     docs = df.select(F.coalesce(F.col(key), F.lit(int(NO_ID)).cast("long")).alias("doc"), F.col(text).alias("text"))
     # several rows may have the doc's id, and a set's first comer is enough
     found = asked_only(docs, wanted.select("doc")).join(wanted, "doc").select("node", "places", "text")
     sent = found.mapInArrow(ship, SHIPPED).repartition(n, "to", "salt").sortWithinPartitions("to", "salt", "role", "node")
-    return settle(sent.mapInArrow(compare, VERIFIED))
+    return settle(sent.mapInArrow(compare, "a long, b long"))
 
 
 def near_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From members of groups (group, node, comp, n, data), sorted by group, to the pairs of different components that their sketches don't rule out. The sum of the differences of counts is never above the number of shingles that two sets don't share."""
+    """From members of parts of groups (group, low, high, block, node, comp, n, data), sorted by part, to the pairs of different components that their sketches don't rule out. Part (low, high) holds two blocks of a group and compares one with the other, or one block with itself."""
     bands = Bands()
     held: list[pa.RecordBatch] = []
     asked: set[tuple[int, int]] = set()
 
     def flush(group: pa.Table) -> Iterator[pa.RecordBatch]:
-        node, comp, n = (group.column(c).to_numpy() for c in ("node", "comp", "n"))
+        node, comp, n, block = (group.column(c).to_numpy() for c in ("node", "comp", "n", "block"))
+        cross = group.column("low")[0].as_py() != group.column("high")[0].as_py()
         order = np.argsort(n, kind="stable")
-        node, comp, n = node[order], comp[order], n[order].astype(np.int64)
+        node, comp, n, block = node[order], comp[order], n[order].astype(np.int64), block[order]
         raw = [group.column("data")[int(i)].as_py() for i in order]
-        counts = np.array([np.frombuffer(r, np.uint8).astype(np.int16).reshape(-1, SHORT).sum(0) for r in raw])
-        wide = {i: np.frombuffer(r, np.uint8).astype(np.int16) for i, r in enumerate(raw) if len(r) == LONG}
+        counts = _folded(raw, SHORT)
         out: list[tuple[int, int]] = []
         for i in range(len(node)):
             # partners that are not smaller, up to the largest that can link
-            top = int(np.searchsorted(n, n[i] * 100 // bands.numerator, "right"))
-            j = np.arange(i + 1, top)
+            j = np.arange(i + 1, int(np.searchsorted(n, n[i] * 100 // bands.numerator, "right")))
             j = j[comp[j] != comp[i]]
+            if cross:
+                j = j[block[j] != block[i]]
             if not len(j):
                 continue
             most = bands.differ(n[i], n[j])
-            j = j[np.abs(counts[j] - counts[i]).sum(1) <= most]
+            close = np.abs(counts[j] - counts[i]).sum(1) <= most
+            j, most = j[close], most[close]
+            j = j[apart([raw[i]] * len(j), [raw[k] for k in j.tolist()]) <= most] if len(j) else j
             for k in j.tolist():
-                if i in wide and k in wide and np.abs(wide[i] - wide[k]).sum() > bands.differ(n[i], n[k]):
-                    continue
                 pair = (int(min(node[i], node[k])), int(max(node[i], node[k])))
                 if pair not in asked:
                     asked.add(pair)
@@ -457,10 +508,10 @@ def near_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     for batch in batches:
-        group = batch.column(batch.schema.get_field_index("group")).to_numpy()
-        cut = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), len(group)]
+        key = np.array([batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("group", "low", "high")])
+        cut = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist(), len(batch)]
         for x, y in zip(cut, cut[1:]):
-            if held and held[-1].column("group")[0].as_py() != group[x]:
+            if y > x and held and [held[-1].column(c)[0].as_py() for c in ("group", "low", "high")] != key[:, x].tolist():
                 yield from flush(pa.Table.from_batches(held))
                 held = []
             if y > x:
@@ -477,34 +528,32 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     common = spark.sparkContext.broadcast(common_shingles(df, text))
     sent = df.select(F.col(key).cast("long"), text).mapInArrow(sign(common, n), PACKET)
     met = settle(sent.repartitionById(n, "target").mapInArrow(meet(), TOLD_SCHEMA))
-    docs = met.where(F.col("kind") == IS_DOC).select(F.col("a").alias("doc"), F.col("b").alias("node"), "n")
-    nodes = settle(docs.where("n > 0").groupBy("node").agg(F.min("doc").alias("doc"), F.first("n").alias("n")))
+    docs = met.where(F.col("kind") == IS_DOC).select(F.col("a").alias("doc"), F.col("b").alias("node"), "n", "data")
+    nodes = settle(docs.where("n > 0").groupBy("node").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.max("data").alias("data")))
     members = settle(met.where(F.col("kind") == IS_MEMBER).select(F.col("a").alias("group"), F.col("b").alias("node")).distinct())
     # a group's hub is the member that is in most groups: of edited copies, the one that they were made of
     often = members.groupBy("node").agg(F.count(F.lit(1)).alias("groups"))
-    ranked = members.join(often, "node")
-    hub = ranked.groupBy("group").agg(F.max(F.struct("groups", "node")).getField("node").alias("a"))
-    spokes = members.join(hub, "group").where("a <> node").select("a", F.col("node").alias("b"))
+    hub = members.join(often, "node").groupBy("group").agg(F.max(F.struct("groups", "node")).getField("node").alias("a"))
+    spokes = lookup(members, hub, "group").where("a <> node").select("a", F.col("node").alias("b"))
     pairs = settle(met.where(F.col("kind") == IS_PAIR).select("a", "b").unionByName(spokes).distinct())
-    first = verified(df, pairs, nodes, key, text, members)
-    links = first.where(F.col("role") == IS_OTHER).select("a", "b")
+    links = verified(df, likely(pairs, nodes), nodes, key, text)
     label = components(links)
-    # members of one signature that are still apart
-    sketches = first.where(F.col("role") == IS_SKETCH).select(F.col("a").alias("node"), "n", "data").dropDuplicates(["node"])
+    # members of one signature that are still apart; a large group is compared by pairs of blocks
     placed = members.join(label, "node", "left").select("group", "node", F.coalesce("comp", "node").alias("comp"))
-    apart = placed.groupBy("group").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("group")
-    placed = placed.join(apart, "group").join(sketches, "node").select("group", "node", "comp", "n", "data")
-    more = placed.repartition(n, "group").sortWithinPartitions("group").mapInArrow(near_pairs, "a long, b long").distinct()
+    split_up = placed.groupBy("group").agg(F.min("comp").alias("least"), F.max("comp").alias("greatest"), F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("blocks")).where("least <> greatest").select("group", "blocks")
+    blocked = lookup(placed, split_up, "group").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    parts = blocked.join(nodes.select("node", "n", "data"), "node").select("group", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "comp", "n", "data")
+    more = parts.repartition(n, "group", "low", "high").sortWithinPartitions("group", "low", "high").mapInArrow(near_pairs, "a long, b long").distinct()
     tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = settle(more.join(tried, ["a", "b"], "left_anti"))
     if not more.isEmpty():
-        again = verified(df, more, nodes, key, text).where(F.col("role") == IS_OTHER).select("a", "b")
+        again = verified(df, more, nodes, key, text)
         if not again.isEmpty():
             label = components(links.unionByName(again))
-    least = nodes.join(label, "node", "left").select("node", "doc", F.coalesce("comp", "node").alias("comp"))
+    least = settle(nodes.join(label, "node", "left").select("node", "doc", F.coalesce("comp", "node").alias("comp")))
     lowest = least.groupBy("comp").agg(F.min("doc").alias("low"))
-    reach = least.join(lowest, "comp").select("node", "low")
-    found = docs.where("n > 0").join(reach, "node").select("doc", "n", "low").unionByName(docs.where("n = 0").select("doc", "n", F.col("doc").alias("low")))
+    reach = lookup(least.select("node", "comp"), lowest, "comp").select("node", "low")
+    found = lookup(docs.where("n > 0").select("doc", "node", "n"), reach, "node").select("doc", "n", "low").unionByName(docs.where("n = 0").select("doc", "n", F.col("doc").alias("low")))
     given = lambda c: F.when(F.col(c) < int(NO_ID), F.col(c))
     return found.select(given("doc").alias(key), F.col("n").cast("long").alias("n_shingles"), given("low").alias("component_id"))
 
@@ -517,6 +566,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each component the document with the least id stays; repeated rows stay once."""
     found = near_duplicates(docs)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    marked = docs.withColumn("_text", F.xxhash64("text"))
-    return marked.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id", "_text"]).select(*docs.columns)
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept")).distinct()
+    whole = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col("doc_id").alias("key"), F.xxhash64("text").alias("hash"))
+    return whole.join(kept, F.col("key").eqNullSafe(F.col("kept")), "left_semi").dropDuplicates(["key", "hash"]).select("row.*")

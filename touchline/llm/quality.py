@@ -6,7 +6,8 @@ follow-the-regularised-leader updates on a bounded sample of the labelled rows;
 
 Null and empty texts have no features and get the score of the bias. A label of a missing document, or a null label, is
 not learnt from; a doc_id labelled more than once counts as often. Without any label the score is 0.5 throughout.
-Repeated rows get equal scores; extra columns pass through, but for one that bears the score's name.
+Repeated rows get equal scores; extra columns pass through, but for one that bears the score's name. Very long texts are
+blocks of their own; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .blocks import LOWER, SPACES, Hasher, mix, text_blocks
-from .shared import table
+from .shared import spare, table
 
 #: Hash buckets of the features.
 BUCKETS = 1 << 18
@@ -178,5 +179,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str, least: float = 0.3) -> DataFrame:
     """Pipeline stage: the documents whose score is `least` or more."""
-    found = score(docs, learn_from_tables(spark, sf_dir), out="_quality")
-    return found.where(F.col("_quality") >= least).select(*docs.columns)
+    name = spare(docs, "quality")
+    found = score(docs, learn_from_tables(spark, sf_dir), out=name)
+    return found.where(F.col(name) >= least).select(*docs.columns)

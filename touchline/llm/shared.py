@@ -5,10 +5,11 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..settled import delete, settle, shared_folder
 
-__all__ = ["lean", "local_path", "release", "settle", "shared_folder", "table", "tasks"]
+__all__ = ["lean", "local_path", "lookup", "release", "settle", "shared_folder", "spare", "table", "tasks"]
 
 
 def local_path(uri: str) -> str | None:
@@ -49,3 +50,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+#: Rows of one key that are joined in one place, and hot keys that are broadcast at most.
+SALT, HOT = 4_000, 1_000_000
+
+
+def lookup(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """Join with a right side of one row a key, where a third of the left side may have one key: rows of a hot key are dealt to several places, and the right side's row is copied to each."""
+    many = settle(left.groupBy(on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > SALT).select(on, F.ceil(F.col("_n") / SALT).cast("int").alias("_salts")))
+    hot = many.count()
+    if not hot:
+        return left.join(right, on, how)
+    many = F.broadcast(many) if hot <= HOT else many
+    salt = F.coalesce(F.pmod(F.xxhash64(*left.columns), F.col("_salts")), F.lit(0)).cast("int")
+    dealt = left.join(many, on, "left").select(*left.columns, salt.alias("_salt"))
+    copied = right.join(many, on, "left").select(*right.columns, F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)).alias("_salt"))
+    return dealt.join(copied, [on, "_salt"], how).drop("_salt")
+
+
+def spare(df: DataFrame, name: str) -> str:
+    """The name, with marks at its end if the frame has a column that is called so."""
+    known = {c.lower() for c in df.columns}
+    while name.lower() in known:
+        name += "_"
+    return name
