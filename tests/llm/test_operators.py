@@ -755,7 +755,7 @@ def test_small_leaves_stay_exact():
     v = dice.normal(size=(600, 3)) * dice.uniform(0.1, 3, (600, 1))
     ids = np.arange(600)
     tops = {}
-    for q, c, _ in neighbours.best_of_shard(v, ids, iter([(ids[:50], v[:50])]), 5, 1.0, float(np.linalg.norm(v, axis=1).max())):
+    for q, c, _ in neighbours.best_of_shard(v, ids, iter([(ids[:50], v[:50], np.full(50, -np.inf))]), 5, 1.0, float(np.linalg.norm(v, axis=1).max())):
         for a, b in zip(q.tolist(), c.tolist()):
             tops.setdefault(a, []).append(b)
     for i in range(50):
@@ -764,6 +764,43 @@ def test_small_leaves_stay_exact():
         assert tops[i] == np.lexsort((ids, -s))[:5].tolist()
 
 
+@pytest.mark.parametrize("shard", [40, 100_000])
+def test_neighbours_in_clusters(spark, shard):
+    """Clusters, one vector that a third of all rows hold, and vectors of very different lengths; exact, and without sending queries everywhere."""
+    dice = np.random.default_rng(5)
+    centre = dice.normal(size=(8, 16)) * 5
+    v = centre[dice.integers(0, 8, 600)] + dice.normal(size=(600, 16)) * 0.2
+    v[::3] = v[0]
+    v[1::50] *= 3
+    ids = np.arange(600)
+    df = spark.createDataFrame([(int(i), x.tolist(), "e") for i, x in zip(ids, v)], "vec_id long, embedding array<double>, _v string")
+    got = defaultdict(list)
+    for r in neighbours.nearest(df, F.col("vec_id") % 20 == 0, shard=shard).collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"]))
+    for i in ids[::20]:
+        s = v @ v[i]
+        s[i] = -np.inf
+        found = [x[1] for x in sorted(got[i])]
+        best = np.lexsort((ids, -np.round(s, 9)))[:20]
+        assert np.allclose(np.sort(s[found]), np.sort(s[best])) and len(set(found)) == 20
+    cells = neighbours.Cells(centre, shard)
+    cell, far = cells.nearest(v)
+    cells.settle([{"_cell": c, "n": int((cell == c).sum()), "radius": far[cell == c].max(), "norm": np.linalg.norm(v[cell == c], axis=1).max()} for c in np.unique(cell).tolist()])
+    assert shard > 40 or cells.total > 8
+    reached = np.array([np.sort(v @ q)[-21] for q in v])
+    row, to = cells.further(v, reached, cell)
+    for i in range(600):
+        missing = [c for c in range(8) if c != cell[i] and c not in to[row == i]]
+        assert not len(missing) or (v[np.isin(cell, missing)] @ v[i]).max(initial=-np.inf) < reached[i]
+    assert len(row) < 0.8 * 600 * 7
+
+
+def test_neighbours_of_huge_vectors(spark):
+    """A vector whose squared length is beyond doubles takes no part."""
+    df = spark.createDataFrame([(20, [1.0, 1.0]), (1, [1e200, 0.0]), (2, [1e100, 0.0]), (3, [0.5, 0.5])], "vec_id long, embedding array<double>")
+    assert [r["vec_id"] for r in neighbours.nearest(df, F.col("vec_id") % 20 == 0).orderBy("rank").collect()] == [2, 3]
+
+
 def test_neighbours_of_odd_rows(spark):
     nan = float("nan")
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (None, [1.0, 1.0]), (3, None), (4, [nan, 1.0]), (20, [1.0, 1.0]), (20, [1.0, 1.0]), (5, [1.0, None]), (7, [1.0, 0.0]), (8, [1.0, 2.0, 3.0])], "vec_id long, embedding array<float>")

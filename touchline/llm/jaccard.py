@@ -372,7 +372,7 @@ def asked_only(docs: DataFrame, asked: DataFrame) -> DataFrame:
 #: Counts of shingles by hash, for a bound on how far two sets differ: as many counts as LONG for sets larger than MANY.
 SHORT, LONG, MANY = 256, 1024, 500
 #: Sets that a hub is compared with in one place, and members of a group that are compared in one.
-SALT, MEMBERS = 4_000, 2_000
+SALT, MEMBERS = 256, 2_000
 IS_HUB, IS_OTHER = range(2)
 SHIPPED = "to long, salt int, role int, node long, data binary"
 
