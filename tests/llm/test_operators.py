@@ -548,6 +548,46 @@ def test_main_text_after_stray_quotes(spark, tag):
     assert said in text and "that winter" in text and "Bob" not in text and "tall" not in text
 
 
+@pytest.mark.parametrize("opening", ['<p title="the hidden gem">', '<p aria-hidden="false">', "<p data=it's>", '<p data-id="sidebar">', '<p title="class=nav">', "<p data-hidden>"])
+def test_only_an_attributes_own_name_and_value_count(opening):
+    said = "The ferry left at noon, and the whole village came to see it go. It carried grain, letters and two goats."
+    assert maintext.main_text(f"<article><h1>Ferry</h1>{opening}{said}</p></article>") == f"Ferry\n{said}"
+    assert maintext.main_text(f"<article><h1>Ferry</h1><p HIDDEN>{said}</p><p>It has <math><mi>n</mi></math> goats on board, all in all.</p></article>") == "Ferry\nIt has n goats on board, all in all."
+
+
+def test_long_pages_take_linear_time():
+    import time
+
+    page = "<nav><a href=1>Home</a></nav><article>" + "".join(f"<p>Paragraph {i} tells of a day at sea and of the people who went there.</p>" + ("<div class=ad>Buy now!</div>" if i % 3 == 0 else "") for i in range(40_000)) + "</article>"
+    began = time.time()
+    text = maintext.main_text(page)
+    assert text.count("\n") == 39_999 and "Buy" not in text and time.time() - began < 30
+    deep = "<div>" * 20_000 + "<p>Some words of a story, told at the bottom of it all, far below the surface.</p>"
+    assert "bottom" in maintext.main_text(deep) and time.time() - began < 40
+
+
+def test_class_names_are_learnt(spark):
+    """What a site's own names mean is learnt from pages that have article elements, and holds for those that haven't."""
+    dice = random.Random(2)
+    prose = lambda n: " ".join(dice.choice(["river", "stone", "night", "walks", "under", "bright", "old"]) for _ in range(n)) + "."
+    kept, lost = [], []
+    rows = []
+    for i in range(120):
+        body, offer = [prose(14) for _ in range(3)], prose(30)
+        text = "".join(f'<p class="zork">{p}</p>' for p in body)
+        story = f"<article>{text}</article>" if i % 4 else f"<div>{text}</div>"
+        rows.append((i, f'<body><div class="qux"><p>{offer}</p></div>{story}</body>'))
+        kept.append("\n".join(body))
+        lost.append(offer)
+    df = spark.createDataFrame(rows, "page_id long, html string")
+    weights = maintext.fit(df)
+    got = {r["page_id"]: r["text"] for r in maintext.extract(df, weights=weights).collect()}
+    assert all(got[i] == kept[i] for i in got)
+    assert any(lost[i] in r["text"] for i, r in by_id(maintext.extract(df), "page_id").items())  # the prior can't know
+    assert maintext.fit(df.limit(0)) is None
+    assert maintext.fit(spark.createDataFrame([(1, "<p>Words that nothing tells about."), (2, None)], "page_id long, html string")) is None
+
+
 def test_main_text_of_odd_rows(spark):
     df = spark.createDataFrame([(1, None, "t"), (1, "", "u"), (None, "<p>Hello there, you.", None)], "page_id long, html string, text string")
     assert [r["text"] for r in maintext.extract(df).collect()] == ["", "", "Hello there, you."]

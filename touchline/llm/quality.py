@@ -86,9 +86,10 @@ class FTRL:
         z = self.z[at]
         return np.where(np.abs(z) <= self.l1, 0.0, (np.sign(z) * self.l1 - z) / ((self.beta + np.sqrt(self.n[at])) / self.alpha + self.l2))
 
-    def learn(self, at: np.ndarray, x: np.ndarray, label: int, weight: float = 1.0) -> None:
+    def learn(self, at: np.ndarray, x: np.ndarray, label: int, offset: float = 0.0) -> None:
+        """offset: what is known of the row's logit beforehand."""
         w = self.weights(at)
-        g = (1 / (1 + np.exp(-np.clip(w @ x, -35, 35))) - label) * weight * x
+        g = (1 / (1 + np.exp(-np.clip(w @ x + offset, -35, 35))) - label) * x
         n = self.n[at]
         self.z[at] += g - (np.sqrt(n + g * g) - np.sqrt(n)) / self.alpha * w
         self.n[at] = n + g * g
