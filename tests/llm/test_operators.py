@@ -297,9 +297,58 @@ def test_encoding_of_odd_texts(spark, odd, reference_coder):
     assert bytebpe.decode(bytebpe.encode(odd.limit(0), path, pattern), path, pattern).count() == 0
 
 
+def test_decoding_of_ids_outside_the_table(spark):
+    import public_tokenizers
+
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    df = spark.createDataFrame([(1, [64, 50_256, 65]), (2, [10**9, -1]), (3, None), (4, [64, None, 65]), (5, [])], "doc_id long, ids array<int>")
+    got = {r["doc_id"]: bytes(r["decoded"]) for r in bytebpe.decode(df, path, pattern).collect()}
+    assert got[1] == got[4] and len(got[1]) == 2 and got[2] == got[3] == got[5] == b""
+
+
+def test_encoding_of_a_very_long_text(spark, reference_coder):
+    import public_tokenizers
+
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    dice = random.Random(9)
+    text = " ".join(dice.choice(["river", "Stein", "naïve", "12", "...", "\n"]) + str(dice.randrange(99)) for _ in range(400_000))
+    assert len(text) > 1 << 21
+    (row,) = bytebpe.decode(bytebpe.encode(spark.createDataFrame([(1, text)], "doc_id long, text string"), path, pattern), path, pattern).collect()
+    assert row["ids"] == reference_coder.encode_ordinary(text) and bytes(row["decoded"]).decode() == text
+
+
 # ---- 4 ----
 
 
+def test_updates_and_scores_by_the_book():
+    """Follow-the-regularised-leader coordinate by coordinate, and a score as a sparse dot product."""
+    dice = random.Random(5)
+    model, z, n = quality.FTRL(buckets=20), Counter(), Counter()
+
+    def weight(i):
+        if abs(z[i]) <= quality.L1:
+            return 0.0
+        return -(z[i] - math.copysign(quality.L1, z[i])) / ((quality.BETA + math.sqrt(n[i])) / quality.ALPHA + quality.L2)
+
+    for _ in range(200):
+        at, label = dice.sample(range(21), 5), dice.randrange(2)
+        x = [dice.uniform(0, 2) for _ in at]
+        p = 1 / (1 + math.exp(-sum(weight(i) * v for i, v in zip(at, x))))
+        for i, v in [(i, (p - label) * v) for i, v in zip(at, x)]:
+            sigma = (math.sqrt(n[i] + v * v) - math.sqrt(n[i])) / quality.ALPHA
+            z[i], n[i] = z[i] + v - sigma * weight(i), n[i] + v * v
+        model.learn(np.array(at), np.array(x), label)
+    assert model.weights() == pytest.approx([weight(i) for i in range(21)])
+    weights = np.random.default_rng(1).normal(size=quality.BUCKETS + 1).astype(np.float32)
+    texts = ["", "One two, one two!", "ÉÉ x9 ... 12", " \n"]
+    data, offsets = column_bytes(pa.array(texts))
+    at, of = quality.features(data, offsets, Hasher())
+    for k, got in enumerate(quality.scores(weights, data, offsets, Hasher())):
+        mine = Counter(at[of == k].tolist())
+        dot = sum(float(weights[i]) * c * quality.SCALE / sum(mine.values()) for i, c in mine.items()) + float(weights[-1])
+        assert got == pytest.approx(1 / (1 + math.exp(-dot)), rel=1e-4)
+
+
 def test_quality_on_held_out_rows(spark, sf):
     sf = sf.replace("sf0.001", "sf0.01")
     got = by_id(registry.QUERIES["op4_quality"](spark, sf))
@@ -765,6 +814,49 @@ def test_passages_of_low_identity(spark, identity):
 def test_chains_are_the_best():
     x, y, size = (np.array(c) for c in ([0, 10, 20, 30], [0, 50, 10, 20], [6, 20, 6, 6]))
     assert sorted(map(tuple, passages.chains(x, y, size))) == [(0, 2, 3), (1,)]
+    # a great fragment far away doesn't hide a small one nearby
+    x, y, size = (np.array(c) for c in ([0, 400, 410], [0, 400, 410], [200, 6, 30]))
+    assert sorted(map(tuple, passages.chains(x, y, size))) == [(0,), (1, 2)]
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_chains_against_all_predecessors(seed):
+    dice = np.random.default_rng(seed)
+    x, y, size = dice.integers(0, 900, 120), dice.integers(0, 900, 120), dice.integers(4, 20, 120)
+    by = np.lexsort((y, x))
+    x, y, size = x[by], y[by], size[by]
+    best = np.zeros(120)
+    for i in range(120):
+        best[i] = size[i]
+        for j in range(i):
+            gap = x[i] - x[j] - size[j], y[i] - y[j] - size[j]
+            if x[j] < x[i] and y[j] < y[i] and min(gap) >= -passages.SEED and max(gap) <= passages.GAP:
+                best[i] = max(best[i], best[j] + size[i] - passages.SKIP * sum(gap) + min(0, *gap))
+    # what a chain found is worth, by its own links
+    made = 0.0
+    for chain in passages.chains(x, y, size):
+        worth = float(size[chain[0]])
+        for j, i in zip(chain, chain[1:]):
+            gap = x[i] - x[j] - size[j], y[i] - y[j] - size[j]
+            assert x[j] < x[i] and y[j] < y[i] and max(gap) < 2 * passages.GAP
+            worth += size[i] - passages.SKIP * sum(gap) + min(0, *gap)
+        made = max(made, worth)
+    assert made >= best.max() - 1e-9
+
+
+def test_every_stretch_of_a_chain(spark):
+    """Two copied passages with forty changed words between them: both are found, though one chain joins them."""
+    one, two = ([f"{k}{i}" for i in range(60)] for k in "ab")
+    docs = [(1, one + [f"c{i}" for i in range(40)] + two), (2, ["x", *one, *[f"d{i}" for i in range(40)], *two, "y"])]
+    found = passages.passages(spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["first_word"], r["n_words"], r["source_first_word"]) for r in found) == [(2, 1, 60, 0), (2, 101, 60, 100)]
+
+
+def test_passages_of_a_very_long_text(spark):
+    """A passage near the end of a text of 300,000 words."""
+    long = [f"w{i}" for i in range(300_000)]
+    found = passages.passages(spark.createDataFrame([(1, " ".join(long)), (2, "a b c " + " ".join(long[299_000:299_080]) + " d e f")], "doc_id long, text string")).collect()
+    assert [(r["doc_id"], r["first_word"], r["n_words"], r["source_first_word"]) for r in found] == [(2, 3, 80, 299_000)]
 
 
 # ---- 10 ----

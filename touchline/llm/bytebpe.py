@@ -5,7 +5,8 @@ byte by byte to the model's printable characters, and looked up in a bounded mem
 out as arrays. Decoding takes each id's bytes from the reversed table and joins the bytes before it reads characters, so
 a character split over several tokens is whole again.
 
-Null text: no ids. Empty text: no ids. Repeated rows, ties of ids and extra columns pass through untouched.
+Null text: no ids. Empty text: no ids. Null ids, and ids outside the table: no bytes. Very long texts are steps of their
+own. Repeated rows, ties of ids and extra columns pass through untouched; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -75,8 +76,9 @@ class ByteBPE:
         table: list[bytes] = [b""] * size
         for text, i in self.model_vocab(ranks, spelled):
             table[i] = bytes(map(back.__getitem__, text))
-        self.token_bytes = pa.array(table, pa.large_binary())
-        self.token_length = np.array([*map(len, table)], np.int64)
+        # the last row stands for ids outside the table: they have no bytes
+        self.token_bytes = pa.array([*table, b""], pa.large_binary())
+        self.token_length = np.array([*map(len, table), 0], np.int64)
         self.memo: dict[str, bytes] = {}
 
     @staticmethod
@@ -109,6 +111,7 @@ class ByteBPE:
 
     def decode(self, ids: np.ndarray, lengths: np.ndarray) -> tuple[pa.Array, np.ndarray]:
         """The bytes of consecutive lists of ids, one after another, and the offsets of each list's bytes."""
+        ids = np.where((ids >= 0) & (ids < len(self.token_length)), ids, len(self.token_length) - 1)
         ends = np.concatenate(([0], np.cumsum(self.token_length[ids])))
         return self.token_bytes.take(pa.array(ids, pa.int32())), ends[np.concatenate(([0], np.cumsum(lengths)))]
 
@@ -183,7 +186,7 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str =
             n = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
             step = np.concatenate(([0], np.cumsum(n))) * 4
             for i, j in spans(step, STEP):
-                taken, ends = coder.decode(lists.slice(i, j - i).flatten().to_numpy(zero_copy_only=False), n[i:j])
+                taken, ends = coder.decode(lists.slice(i, j - i).flatten().fill_null(-1).to_numpy(zero_copy_only=False), n[i:j])
                 made = pa.LargeBinaryArray.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(ends.astype(np.int64)), taken.buffers()[2]]) if len(taken) else pa.array([b""] * (j - i), pa.large_binary())
                 yield _with(batch, i, j, names, **{out: made.cast(pa.binary())})
 

@@ -52,7 +52,7 @@ HELD = 500_000
 
 IS_SIGNED, IS_NODE = 0, 1
 PACKET = "target int, kind int, blob binary"
-SIGNED, NODES = ["<u4", "<u8"], ["<i8", "<u8", "<u4", "<u4"]
+SIGNED, NODES = ["<u4", "<u8"], ["<i8", "<i8", "<u8", "<u4", "<u4"]
 
 
 def shingle_sets(column, size: int = WORDS) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -209,7 +209,7 @@ def _rows(*packets: tuple[int, tuple[list[int], list[bytes]]]) -> Iterator[pa.Re
             yield pa.RecordBatch.from_arrays([pa.array(targets, pa.int32()), pa.array([kind] * len(targets), pa.int32()), pa.array(blobs, pa.binary())], names=["target", "kind", "blob"])
 
 
-def _nodes(doc: np.ndarray, node: np.ndarray, size: np.ndarray, sketches: list[bytes], n: int) -> tuple[list[int], list[bytes]]:
+def _nodes(doc: np.ndarray, tie: np.ndarray, node: np.ndarray, size: np.ndarray, sketches: list[bytes], n: int) -> tuple[list[int], list[bytes]]:
     """Packets of documents by their node: columns, and the sketches one after another."""
     target = (node % np.uint64(n)).astype(np.int64)
     order = np.argsort(target, kind="stable")
@@ -217,26 +217,26 @@ def _nodes(doc: np.ndarray, node: np.ndarray, size: np.ndarray, sketches: list[b
     blobs = []
     for a, b in zip(edge, edge[1:]):
         mine = order[a:b]
-        head = pack([doc[mine], node[mine], size[mine], np.array([len(sketches[k]) for k in mine], "<u4")])
+        head = pack([doc[mine], tie[mine], node[mine], size[mine], np.array([len(sketches[k]) for k in mine], "<u4")])
         blobs.append(np.array([len(head)], "<i8").tobytes() + head + pack([np.frombuffer(b"".join(sketches[k] for k in mine), np.uint8)]))
     return target[order[edge[:-1]]].tolist(), blobs
 
 
-def _read_nodes(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+def _read_nodes(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
     cut = 8 + int(np.frombuffer(blob[:8], "<i8")[0])
-    doc, node, size, width = unpack(blob[8:cut], NODES)
+    doc, tie, node, size, width = unpack(blob[8:cut], NODES)
     ends = np.concatenate(([0], np.cumsum(width))).astype(np.int32)
-    return doc, node, size, pa.BinaryArray.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(ends), pa.py_buffer(unpack(blob[cut:], ["u1"])[0].tobytes())])
+    return doc, node, size, tie, pa.BinaryArray.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(ends), pa.py_buffer(unpack(blob[cut:], ["u1"])[0].tobytes())])
 
 
 def sign(common, n: int):
-    """From rows (doc, text) to packets of signatures, and of each document's node, size and sketch (of equal ones in a task, the first's)."""
+    """From rows (doc, tie, text) to packets of signatures, and of each document's node, size and sketch (of equal ones in a task, the first's)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands()
         frequent = common.value
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        docs: list[tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]] = []
+        docs: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]] = []
         seen: set[int] = set()
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -244,22 +244,23 @@ def sign(common, n: int):
                 sig, node = (np.concatenate(x) for x in zip(*held))
                 yield from _rows((IS_SIGNED, split((sig % np.uint64(n)).astype(np.int64), [(sig >> np.uint64(32)).astype("<u4"), node])))
             if docs:
-                doc, node, size = (np.concatenate(x) for x in list(zip(*docs))[:3])
-                yield from _rows((IS_NODE, _nodes(doc, node, size, [s for x in docs for s in x[3]], n)))
+                doc, tie, node, size = (np.concatenate(x) for x in list(zip(*docs))[:4])
+                yield from _rows((IS_NODE, _nodes(doc, tie, node, size, [s for x in docs for s in x[4]], n)))
             held.clear()
             docs.clear()
             give_back()
 
         for batch in batches:
             ids = batch.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
-            for i, sets in shingle_sets(batch.column(1)):
+            ties = batch.column(1).to_numpy()
+            for i, sets in shingle_sets(batch.column(2)):
                 size = np.array([*map(len, sets)], "<u4")
                 node = np.array([node_of(s) for s in sets], np.uint64)
                 fresh = [k for k, x in enumerate(node.tolist()) if x not in seen and not seen.add(x)]
                 sketches = [b""] * len(sets)
                 for k in fresh:
                     sketches[k] = sketch(sets[k]) if size[k] >= bands.least else b""
-                docs.append((ids[i : i + len(sets)], node, size, sketches))
+                docs.append((ids[i : i + len(sets)], ties[i : i + len(sets)], node, size, sketches))
                 sig, of = signatures([sets[k] for k in fresh], frequent, bands)
                 held.append((sig, node[np.array(fresh, int)[of]] if len(of) else np.empty(0, np.uint64)))
                 if sum(len(x[0]) for x in held) > HELD:
@@ -271,20 +272,20 @@ def sign(common, n: int):
     return run
 
 
-#: What a shard tells: documents (doc, node, n, sketch), pairs (a, b) of groups of two, members (group, node) of larger groups.
-TOLD_SCHEMA = "kind int, a long, b long, n int, data binary"
+#: What a shard tells: documents (doc, node, n, tie, sketch), pairs (a, b) of groups of two, members (group, node) of larger groups.
+TOLD_SCHEMA = "kind int, a long, b long, n int, tie long, data binary"
 IS_DOC, IS_PAIR, IS_MEMBER = range(3)
 
 
 def meet():
     """From packets to documents, the pairs that alone have a signature in common, and members of larger groups."""
 
-    def table_of(kind: int, a: np.ndarray, b: np.ndarray, n: np.ndarray | None = None, data: pa.Array | None = None) -> Iterator[pa.RecordBatch]:
+    def table_of(kind: int, a: np.ndarray, b: np.ndarray, n: np.ndarray | None = None, tie: np.ndarray | None = None, data: pa.Array | None = None) -> Iterator[pa.RecordBatch]:
         step = 100_000 if data is None else 10_000
         for i in range(0, len(a), step):
             size = len(a[i : i + step])
-            columns = [np.full(size, kind, np.int32), a[i : i + size].astype(np.int64), b[i : i + size].astype(np.int64), (n[i : i + size] if n is not None else np.zeros(size)).astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.nulls(size, pa.binary()) if data is None else data.slice(i, size)], names=["kind", "a", "b", "n", "data"])
+            columns = [np.full(size, kind, np.int32), a[i : i + size].astype(np.int64), b[i : i + size].astype(np.int64), *((x[i : i + size] if x is not None else np.zeros(size)).astype(t) for x, t in ((n, np.int32), (tie, np.int64)))]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.nulls(size, pa.binary()) if data is None else data.slice(i, size)], names=["kind", "a", "b", "n", "tie", "data"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signed: list[bytes] = []
@@ -523,13 +524,19 @@ def near_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row a document: key, n_shingles, component_id, the least key that its links reach."""
+    given = lambda c: F.when(F.col(c) < int(NO_ID), F.col(c))
+    return classes(df, key, text).select(given("doc").alias(key), F.col("n").cast("long").alias("n_shingles"), given("low.doc").alias("component_id"))
+
+
+def classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row a document: doc (its key, NO_ID for null), tie (a hash of its text), n (its shingles), low (doc and tie of the least document that its links reach)."""
     spark = lean(df.sparkSession)
     n = tasks(spark)
     common = spark.sparkContext.broadcast(common_shingles(df, text))
-    sent = df.select(F.col(key).cast("long"), text).mapInArrow(sign(common, n), PACKET)
+    sent = df.select(F.col(key).cast("long"), F.xxhash64(text).alias("tie"), text).mapInArrow(sign(common, n), PACKET)
     met = settle(sent.repartitionById(n, "target").mapInArrow(meet(), TOLD_SCHEMA))
-    docs = met.where(F.col("kind") == IS_DOC).select(F.col("a").alias("doc"), F.col("b").alias("node"), "n", "data")
-    nodes = settle(docs.where("n > 0").groupBy("node").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.max("data").alias("data")))
+    docs = met.where(F.col("kind") == IS_DOC).select(F.col("a").alias("doc"), F.col("b").alias("node"), "n", "tie", "data")
+    nodes = settle(docs.where("n > 0").groupBy("node").agg(F.min(F.struct("doc", "tie")).alias("least"), F.first("n").alias("n"), F.max("data").alias("data")).select("node", "least", "least.doc", "n", "data"))
     members = settle(met.where(F.col("kind") == IS_MEMBER).select(F.col("a").alias("group"), F.col("b").alias("node")).distinct())
     # a group's hub is the member that is in most groups: of edited copies, the one that they were made of
     often = members.groupBy("node").agg(F.count(F.lit(1)).alias("groups"))
@@ -550,12 +557,11 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
         again = verified(df, more, nodes, key, text)
         if not again.isEmpty():
             label = components(links.unionByName(again))
-    least = settle(nodes.join(label, "node", "left").select("node", "doc", F.coalesce("comp", "node").alias("comp")))
-    lowest = least.groupBy("comp").agg(F.min("doc").alias("low"))
+    least = settle(nodes.join(label, "node", "left").select("node", "least", F.coalesce("comp", "node").alias("comp")))
+    lowest = least.groupBy("comp").agg(F.min("least").alias("low"))
     reach = lookup(least.select("node", "comp"), lowest, "comp").select("node", "low")
-    found = lookup(docs.where("n > 0").select("doc", "node", "n"), reach, "node").select("doc", "n", "low").unionByName(docs.where("n = 0").select("doc", "n", F.col("doc").alias("low")))
-    given = lambda c: F.when(F.col(c) < int(NO_ID), F.col(c))
-    return found.select(given("doc").alias(key), F.col("n").cast("long").alias("n_shingles"), given("low").alias("component_id"))
+    found = lookup(docs.where("n > 0").select("doc", "tie", "node", "n"), reach, "node").select("doc", "tie", "n", "low")
+    return found.unionByName(docs.where("n = 0").select("doc", "tie", "n", F.struct("doc", "tie").alias("low")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -564,8 +570,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component the document with the least id stays; repeated rows stay once."""
-    found = near_duplicates(docs)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept")).distinct()
-    whole = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col("doc_id").alias("key"), F.xxhash64("text").alias("hash"))
-    return whole.join(kept, F.col("key").eqNullSafe(F.col("kept")), "left_semi").dropDuplicates(["key", "hash"]).select("row.*")
+    """Pipeline stage: of each component the document with the least id stays (of one id's, one text); repeated rows stay once."""
+    found = classes(docs)
+    kept = found.where((F.col("doc") == F.col("low.doc")) & (F.col("tie") == F.col("low.tie"))).select(F.col("doc").alias("key"), F.col("tie").alias("hash")).distinct()
+    whole = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.coalesce(F.col("doc_id"), F.lit(int(NO_ID)).cast("long")).alias("key"), F.xxhash64("text").alias("hash"))
+    return whole.join(kept, ["key", "hash"], "left_semi").dropDuplicates(["key", "hash"]).select("row.*")
