@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .blocks import LOWER, Hasher, give_back, group_starts, mix, text_blocks, words
 from .components import components
 from .packets import gather, pack, split, unpack
-from .shared import lean, lookup, settle, table, tasks
+from .shared import asked_only, lean, lookup, settle, table, tasks
 
 WORDS = 5
 #: Similarity of at least NUMERATOR / 100.
@@ -331,45 +331,6 @@ def meet():
     return run
 
 
-#: Documents up to which a filter keeps others out of a shuffle, and its bits for each; beyond, all are shuffled.
-ASKED, BITS = 1 << 26, 16
-
-
-def asked_only(docs: DataFrame, asked: DataFrame) -> DataFrame:
-    """Rows of docs whose `doc` may be in asked; none that is gets lost. The filter grows with what is asked for, up to 128 MB."""
-    n = asked.count()
-    if n > ASKED:
-        return docs
-    bits = 1 << max(10, (n * BITS - 1).bit_length() - 1)
-    slices = min(tasks(docs.sparkSession), bits >> 8)
-    place = lambda df: df.withColumn("_hash", F.xxhash64("doc"))
-    at = place(asked).select(F.pmod("_hash", F.lit(slices)).cast("int").alias("slice"), F.pmod(F.shiftright("_hash", 16), F.lit(bits // slices)).cast("int").alias("bit"))
-
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, np.ndarray] = {}
-        for batch in batches:
-            which, bit = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for k in np.unique(which).tolist():
-                found.setdefault(k, np.zeros(bits // slices, bool))[bit[which == k]] = True
-        for k, marks in found.items():
-            yield pa.RecordBatch.from_pydict({"slice": pa.array([k], pa.int32()), "bits": pa.array([np.packbits(marks).tobytes()], pa.binary())})
-
-    filled = np.zeros((slices, -(-(bits // slices) // 8)), np.uint8)
-    for r in at.repartitionById(slices, "slice").mapInArrow(fill, "slice int, bits binary").toLocalIterator():
-        filled[r["slice"]] = np.frombuffer(r["bits"], np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(filled)
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        for batch in batches:
-            h = batch.column(batch.schema.get_field_index("_hash")).to_numpy()
-            bit = (h >> 16) % (bits // slices)
-            yield batch.filter(pa.array(known[h % slices, bit >> 3] >> (7 - (bit & 7)) & 1 > 0))
-
-    hashed = place(docs)
-    return hashed.mapInArrow(keep, hashed.schema).drop("_hash")
-
-
 #: Counts of shingles by hash, for a bound on how far two sets differ: as many counts as LONG for sets larger than MANY.
 SHORT, LONG, MANY = 256, 1024, 500
 #: Sets that a hub is compared with in one place, and members of a group that are compared in one.
@@ -466,7 +427,7 @@ def verified(df: DataFrame, pairs: DataFrame, nodes: DataFrame, key: str, text:
     wanted = settle(wanted.join(nodes.select("node", "doc"), "node"))
     docs = df.select(F.coalesce(F.col(key), F.lit(int(NO_ID)).cast("long")).alias("doc"), F.col(text).alias("text"))
     # several rows may have the doc's id, and a set's first comer is enough
-    found = asked_only(docs, wanted.select("doc")).join(wanted, "doc").select("node", "places", "text")
+    found = asked_only(docs, wanted.select("doc"), ["doc"]).join(wanted, "doc").select("node", "places", "text")
     sent = found.mapInArrow(ship, SHIPPED).repartition(n, "to", "salt").sortWithinPartitions("to", "salt", "role", "node")
     return settle(sent.mapInArrow(compare, "a long, b long"))
 

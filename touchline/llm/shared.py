@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..settled import delete, settle, shared_folder
 
-__all__ = ["lean", "local_path", "lookup", "release", "settle", "shared_folder", "spare", "table", "tasks"]
+__all__ = ["asked_only", "lean", "local_path", "lookup", "release", "settle", "shared_folder", "spare", "table", "tasks"]
 
 
 def local_path(uri: str) -> str | None:
@@ -75,3 +79,40 @@ def spare(df: DataFrame, name: str) -> str:
     while name.lower() in known:
         name += "_"
     return name
+
+
+#: Rows up to which a filter keeps others out of a shuffle, and its bits for each; beyond, all are shuffled.
+ASKED, BITS = 1 << 26, 16
+
+
+def asked_only(docs: DataFrame, asked: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of docs whose keys may be in asked; none that is gets lost. The filter grows with what is asked for, up to 128 MB."""
+    n = asked.count()
+    if n > ASKED:
+        return docs
+    bits = 1 << max(10, (n * BITS - 1).bit_length() - 1)
+    slices = max(1, min(tasks(docs.sparkSession), bits >> 8))
+    place = F.xxhash64(*keys)
+    at = asked.select(F.pmod(place, F.lit(slices)).cast("int").alias("slice"), F.pmod(F.shiftright(place, 16), F.lit(bits // slices)).cast("int").alias("bit"))
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, np.ndarray] = {}
+        for batch in batches:
+            which, bit = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for k in np.unique(which).tolist():
+                found.setdefault(k, np.zeros(bits // slices, bool))[bit[which == k]] = True
+        for k, marks in found.items():
+            yield pa.RecordBatch.from_pydict({"slice": pa.array([k], pa.int32()), "bits": pa.array([np.packbits(marks).tobytes()], pa.binary())})
+
+    filled = np.zeros((slices, -(-(bits // slices) // 8)), np.uint8)
+    for r in at.repartitionById(slices, "slice").mapInArrow(fill, "slice int, bits binary").toLocalIterator():
+        filled[r["slice"]] = np.frombuffer(r["bits"], np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(filled)
+
+    @F.pandas_udf("boolean")
+    def may(hashes: pd.Series) -> pd.Series:
+        h = hashes.to_numpy()
+        bit = (h >> 16) % (bits // slices)
+        return pd.Series(shared.value[h % slices, bit >> 3] >> (7 - (bit & 7)) & 1 > 0)
+
+    return docs.where(may(place))
