@@ -844,6 +844,25 @@ def test_chains_against_all_predecessors(seed):
     assert made >= best.max() - 1e-9
 
 
+def test_extensions_are_alignments():
+    """Many at a time give what one at a time does: words used, and score."""
+    dice = random.Random(7)
+    problems = []
+    for _ in range(300):
+        a = [dice.randrange(12) for _ in range(dice.choice([0, 1, 5, 30, 64]))]
+        b = [x if dice.random() < 0.8 else dice.randrange(12) for x in a for _ in range(dice.choice([1, 1, 1, 1, 0, 2]))] + [dice.randrange(12) for _ in range(dice.randrange(10))]
+        problems.append((a, b[:74]))
+    score = lambda columns: sum(1 if c == passages.MATCH else -4.0 for c in columns)
+    used = lambda columns: (sum(c != passages.EARLIER for c in columns), score(columns))
+    for (a, b), got in zip(problems, passages.extensions(problems, 4.0, 40.0, 64)):
+        assert used(got.tolist()) == pytest.approx(used(passages._align(a, b, 4.0, 40.0)))
+        i = j = 0
+        for c in got.tolist():
+            assert c not in (passages.MATCH, passages.MISMATCH) or (a[i] == b[j]) == (c == passages.MATCH)
+            i, j = i + (c != passages.EARLIER), j + (c != passages.LATER)
+    assert passages.extensions([], 4.0, 40.0) == []
+
+
 def test_every_stretch_of_a_chain(spark):
     """Two copied passages with forty changed words between them: both are found, though one chain joins them."""
     one, two = ([f"{k}{i}" for i in range(60)] for k in "ab")
