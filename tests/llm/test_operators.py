@@ -4,6 +4,7 @@ import base64
 import hashlib
 import itertools
 import math
+import os
 import random
 import re
 import zlib
@@ -793,6 +794,29 @@ def test_passage_whose_halves_stand_elsewhere(spark, parts):
     assert found == {(6, 3, 70, 60)}
 
 
+def test_passages_keep_no_more_on_disk_than_they_need(spark, sf, monkeypatch):
+    """What a step shuffled is gone when it ends, packets when they are aligned; what goes to the earlier documents is shuffled in parts."""
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        found = [manager.getAllFiles().apply(i) for i in range(manager.getAllFiles().size())]
+        return {f.getName(): f.length() for f in found if f.getName().startswith("shuffle_")}
+
+    known, settled = shuffled(), []
+
+    def settle(df, *more, **named):
+        settled.append(shared.settle(df, *more, **named))
+        return settled[-1]
+
+    monkeypatch.setattr(passages, "settle", settle)
+    df = spark.read.parquet(f"{sf}/documents.parquet")
+    found = passages.passages(df)
+    left = sum(size for name, size in shuffled().items() if name not in known)
+    assert left < sum(len(r["text"] or "") for r in df.collect()) / 20
+    gone = [all(not os.path.exists(f.removeprefix("file://")) for f in part.inputFiles()) for part in settled]
+    assert gone == [True] * 3 + [False] * passages.ROUNDS and found.count() > 0
+
+
 @pytest.mark.parametrize("identity", [0.8, 0.85, 0.9])
 def test_passages_of_low_identity(spark, identity):
     """A brute-force alignment of each pair says which have a passage; all of these are found."""
