@@ -186,3 +186,56 @@ def test_store(spark, tmp_path):
     spark.range(3).write.parquet(str(tmp_path / "other"))
     with pytest.raises(ValueError, match="Event store"):
         store.load_events(spark, str(tmp_path / "other"))
+
+
+TRICKY = ['}', '{"', '\\', '\\"}', '"', '[{', ']},{"x":1}', "\n}\t", "é} {", ""]
+
+
+@pytest.mark.parametrize("most", ["134217728", "64"])
+def test_json_read_in_pieces(spark, tmp_path, most):
+    """Elements of any kind, with braces and quotes in their texts, from files that are split anywhere."""
+    from touchline.sources.variants import records
+
+    wanted = {}
+    for n in range(6):
+        elements = [{"a": TRICKY[(k + n) % 10], TRICKY[(k * 3 + n) % 10]: [{"b": {TRICKY[k % 10] + "k": k}}, [[], {}]]} for k in range(n * 7)]
+        elements += [[], ["}", {"c": "{"}]] * (n % 2)
+        wanted[write(tmp_path / f"{n}.json", json.dumps(elements, indent=n % 3 or None, ensure_ascii=n < 3))] = elements
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+    try:
+        rows = records(spark, str(tmp_path), "a").select("file", "_ord", F.to_json("v").alias("v")).orderBy("_ord").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    got = {f: [json.loads(r["v"]) for r in rows if r["file"].endswith(f)] for f in wanted}
+    assert got == wanted
+
+
+@pytest.mark.parametrize("text", [" ", "[", '[{"a":1}', '[{"a":1},]', '[{"a":1},,{"b":2}]', '[{"a":1}] x', '[{"a":1}]]', '[{"a":1}{"b":2}]', '[,{"a":1}]', '[{"a":"}]', '{"a":1', '[{"a":1}],[{"b":2}]', '[{"a":1}\\,{"b":2}]', "[1,]"])
+def test_json_that_is_none(spark, tmp_path, text):
+    from touchline.sources.variants import records
+
+    write(tmp_path / "a.json", [{"a": 1}])
+    with pytest.raises(InvalidSource, match="b.json' is not JSON"):
+        records(spark, str(tmp_path), "a") if write(tmp_path / "b.json", text) else None
+
+
+def test_elements_carry_only_their_own_names(spark, tmp_path):
+    """An element of a parsed document would keep the names of all others."""
+    from touchline.sources.variants import records
+
+    rows = records(spark, write(tmp_path / "a.json", [{f"key{i}": i} for i in range(3_000)]), "a").collect()
+    assert len(rows) == 3_000 and max(len(r["v"].metadata) for r in rows) < 50
+
+
+def test_documents_are_written_a_record_at_a_time(spark):
+    """No row holds a whole file's text, and what is written is one document a file all the same."""
+    from touchline.suite_sources import written
+
+    rows = spark.range(3_000).select((F.col("id") % 3).alias("game"), F.col("id"), F.to_json(F.struct("id")).alias("record"))
+    path = written(rows.repartition(7), "game", "id", "record")
+    assert spark.read.text(path).agg(F.max(F.length("value"))).first()[0] < 20
+    files = spark.read.text(path, wholetext=True).collect()
+    assert {r["game"]: [x["id"] for x in json.loads(r["value"])] for r in files} == {k: list(range(k, 3_000, 3)) for k in range(3)} and len(files) == 3
+    lines = written(rows, "game", "id", "record", "head\r\n", "\r\n", "")
+    assert spark.read.text(lines, wholetext=True).where("game = 2").first()["value"].split("\r\n")[:2] == ["head", '{"id":2}']

@@ -6,7 +6,7 @@ complaint to a list; the first complaint of a record, in reading order, becomes
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import ORD
@@ -100,14 +100,60 @@ class Record:
         return F.coalesce(*self.errors, *more, F.lit(None).cast("string"))
 
 
+#: What closes an object: files are read in pieces that end with it, so that no task holds a whole file.
+CLOSE = "}"
+_SPACE = "[ \\t\\r\\n]*"
+
+
+def _depth(text: Column) -> Column:
+    """Objects and arrays that a piece opens, less those that it closes."""
+    return F.length(F.translate(text, "}]", "")) - F.length(F.translate(text, "{[", ""))
+
+
+def _pieces(spark: SparkSession, path: str) -> DataFrame:
+    """(file, block, at, value, group, ended): pieces of files, and the group of each: pieces up to the end of an element that is an object. What follows the last object is a group that doesn't end.
+
+    Whether a brace is one, or stands in a string, depends on all that comes before it: each piece tells of its quotes and
+    of its braces in both cases, and sums over the file's pieces decide. No piece ends within an escape, as \\} is none.
+    """
+    pieces = spark.read.option("lineSep", CLOSE).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    plain = F.regexp_replace("value", r"(?s)\\.", "")
+    rest = F.regexp_replace(plain, r'\A[^"]*("|\z)', "")
+    outside = lambda text: F.regexp_replace(text, r'"[^"]*("|\z)', "")
+    pieces = pieces.withColumns({"quotes": F.length(plain) - F.length(F.translate(plain, '"', "")), "if_outside": _depth(outside(plain)), "if_inside": _depth(outside(rest))})
+    by = Window.partitionBy("file").orderBy("block", "at")
+    before, upto = by.rowsBetween(Window.unboundedPreceding, -1), by.rowsBetween(Window.unboundedPreceding, 0)
+    pieces = pieces.withColumn("inside", F.coalesce(F.sum("quotes").over(before) % 2, F.lit(0)))
+    closes = (F.col("inside") + F.col("quotes")) % 2 == 0
+    pieces = pieces.withColumn("depth", F.sum(F.when(F.col("inside") == 1, F.col("if_inside")).otherwise(F.col("if_outside")) - closes.cast("int")).over(upto))
+    pieces = pieces.withColumn("ended", closes & (F.col("depth") == 1))
+    return pieces.withColumn("group", F.coalesce(F.sum(F.col("ended").cast("long")).over(before), F.lit(0))).select("file", "block", "at", "value", "group", "ended")
+
+
 def records(spark: SparkSession, path: str, what: str) -> DataFrame:
-    """The elements of a JSON array as (file, _ord, v). A path may name many files; each is an array of its own, and is read by one task. Files are parsed once: checks and results read the parsed elements from a shared table."""
-    documents = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.try_parse_json("value").alias("doc"))
-    documents = documents.withColumn("_shape", F.when(F.col("doc").isNull(), "malformed").when(~F.schema_of_variant("doc").like("ARRAY<%"), "other"))
-    found = settle(spark.sql(f"select file, _shape, cast(pos as bigint) as {ORD}, value as v from {{documents}}, lateral variant_explode_outer(doc)", documents=documents))
-    first = found.where("_shape is not null").groupBy().pivot("_shape", ["malformed", "other"]).agg(F.min("file")).first()
-    if first is not None and first["malformed"] is not None:
-        raise InvalidSource(f"{what} file '{first['malformed']}' is not JSON")
-    if first is not None and first["other"] is not None:
-        raise InvalidSource(f"{what} file '{first['other']}': expected an array at the top")
-    return found.where(f"{ORD} is not null").drop("_shape")
+    """The elements of a JSON array as (file, _ord, v). A path may name many files; each is an array of its own. Files are parsed once, element by element: checks and results read the parsed elements from a shared table."""
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("block", "at", "value"))), lambda p: p["value"])
+    groups = _pieces(spark, path).groupBy("file", "group").agg(F.array_join(in_order, CLOSE).alias("text"), F.bool_or("ended").alias("ended"))
+    # an element follows the bracket or a comma; the last group ends with the bracket, and has elements after a comma only
+    first, last = F.col("group") == 0, ~F.col("ended")
+    head = F.when(first, F.lit(rf"\A{_SPACE}\[")).otherwise(rf"\A{_SPACE},")
+    over = F.coalesce(last & ~first & F.col("text").rlike(rf"\A{_SPACE}\]{_SPACE}\z"), F.lit(False))
+    body = F.regexp_replace("text", head, F.lit(""))
+    body = F.when(last, F.regexp_replace(body, rf"\]{_SPACE}\z", "")).otherwise(F.concat(body, F.lit(CLOSE)))
+    sound = F.regexp_like("text", head) & (~last | F.col("text").rlike(rf"\]{_SPACE}\z")) & (first & last | ~body.rlike(rf"\A{_SPACE}\z"))
+    groups = groups.withColumn("doc", F.when(over, F.parse_json(F.lit("[]"))).when(sound, F.try_parse_json(F.concat(F.lit("["), body, F.lit("]")))))
+    shape = F.when(first & ~F.col("text").rlike(rf"\A{_SPACE}\["), "other").when(F.col("doc").isNull(), "malformed")
+    groups = groups.select("file", "group", last.alias("_last"), shape.alias("_shape"), "doc")
+    found = settle(spark.sql(f"select file, _last, _shape, group + pos as {ORD}, value as v from {{groups}}, lateral variant_explode_outer(doc)", groups=groups), clean=True)
+    told = found.groupBy("file").agg(F.coalesce(F.max("_shape"), F.when(~F.bool_or("_last"), "malformed")).alias("shape")).where("shape is not null")
+    wrong = told.groupBy("shape").agg(F.min("file").alias("file"), F.collect_list("file").alias("files")).collect()
+    wrong = {r["shape"]: r for r in wrong}
+    malformed = [wrong["malformed"]["file"]] if "malformed" in wrong else []
+    if "other" in wrong:
+        whole = spark.read.text(path, wholetext=True).where(F.col("_metadata.file_path").isin(wrong["other"]["files"]) & F.try_parse_json("value").isNull())
+        malformed += [r["file"] for r in whole.agg(F.min("_metadata.file_path").alias("file")).collect() if r["file"]]
+    if malformed:
+        raise InvalidSource(f"{what} file '{min(malformed)}' is not JSON")
+    if wrong:
+        raise InvalidSource(f"{what} file '{wrong['other']['file']}': expected an array at the top")
+    return found.where(f"{ORD} is not null").select("file", ORD, "v")
