@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .schema import EVENT_COLUMNS, ORD
@@ -19,11 +19,13 @@ def all_columns(**sql: str) -> str:
 
 
 def written(records: DataFrame, file: str, order: str, text: str, head: str = "[", separator: str = ",", tail: str = "]") -> str:
-    """One document a value of `file`, of the texts in order; the folder of the files game=1, game=2, ..."""
+    """One document a value of `file`, of the texts in order; the folder of the files game=1, game=2, ... A text is a row until it is written: no task holds a document."""
     path = shared_folder(records.sparkSession)
-    parts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t"))))
-    documents = records.groupBy(F.col(file).alias("game")).agg(F.concat(F.lit(head), F.array_join(F.transform(parts, lambda p: p["t"]), separator), F.lit(tail)).alias("value"))
-    documents.write.partitionBy("game").text(path)
+    rows = records.select(F.col(file).alias("game"), F.col(order).alias("o"), F.col(text).alias("t"))
+    by = Window.partitionBy("game").orderBy("o", "t")
+    rows = rows.withColumns({"first": F.row_number().over(by) == 1, "last": F.lead(F.lit(True)).over(by).isNull()})
+    value = F.concat(F.when(F.col("first"), head).otherwise(""), "t", F.when(F.col("last"), tail).otherwise(separator.removesuffix("\n")))
+    rows.sortWithinPartitions("game", "o", "t").select("game", value.alias("value")).write.partitionBy("game").text(path)
     return path
 
 
