@@ -1,4 +1,5 @@
 import json
+import os
 
 import pytest
 
@@ -372,3 +373,32 @@ def test_manifest_command(tmp_path):
     assert run("catalog", "import", *at).endswith("\n\nteam 3 Reds\n  action: create\n")
     assert "Batch: applied\nCreate: 0\nUnchanged: 1\n" in run("catalog", "import", *at)
     assert review_file.load(str(tmp_path / "s.json")).revision == 1
+
+
+def test_review_file_is_read_and_written_a_record_at_a_time(tmp_path, monkeypatch):
+    """Memory follows the store, not the document's text and its objects; evidence and provenance that agree are held once."""
+    import tracemalloc
+
+    kept = ReviewStore()
+    kept.add("team", Entity(1, "Reds"), P)
+    same = {"name": Evidence("agreeing", "Reds", "Reds"), "context": Evidence("missing")}
+    kept.add_entity_candidates(EntityCandidate("team", Reference("parts", str(k)), 1, "parts", 1.0, dict(same)) for k in range(5_000))
+    for k in range(1, 5_001, 2):
+        kept.reject_entity(k, P)
+    path = str(tmp_path / "r.json")
+    tracemalloc.start()
+    try:
+        review_file.create(path, kept)
+        written = tracemalloc.get_traced_memory()[1]
+        tracemalloc.reset_peak()
+        again = review_file.load(path)
+        read = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert again.entities == kept.entities and again.changes == kept.changes
+    size = os.path.getsize(path)
+    assert written < size / 2 and read < 1.2 * size
+    for text in ('{"format": 1', (tmp_path / "r.json").read_text() + "x", (tmp_path / "r.json").read_text()[:-3], "7", "", '{"a" 1}'):
+        (tmp_path / "b.json").write_text(text)
+        with pytest.raises(review_file.ReviewFileError):
+            review_file.load(str(tmp_path / "b.json"))

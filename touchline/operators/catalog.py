@@ -33,7 +33,7 @@ class Reference(NamedTuple):
         return f"{self.provider}:{self.id}" + (f"@{self.match_id}" if self.match_id is not None else "")
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, slots=True)
 class Entity:
     id: int
     name: str
@@ -42,7 +42,7 @@ class Entity:
     competition_id: int | None = None  # of a season
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, slots=True)
 class Match:
     id: int
     competition: str

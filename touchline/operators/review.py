@@ -6,6 +6,8 @@ import copy
 import time
 from collections.abc import Iterable
 from dataclasses import dataclass, field, replace
+from functools import lru_cache
+from sys import intern
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,7 +17,7 @@ UNRESOLVED, ACCEPTED, REJECTED = "unresolved", "accepted", "rejected"
 MOST = 2**63 - 1
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, slots=True)
 class Provenance:
     actor: str
     source: str
@@ -29,7 +31,7 @@ class Provenance:
         return self
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, slots=True)
 class Change:
     revision: int
     action: str
@@ -41,7 +43,7 @@ class Change:
     related_id: int | None = None
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, slots=True)
 class Evidence:
     status: str
     left: str | None = None
@@ -51,7 +53,7 @@ class Evidence:
     right_source: str = ""
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, slots=True)
 class MatchCandidate:
     left: Reference
     right: Reference
@@ -69,7 +71,7 @@ class MatchCandidate:
         return self.left, self.right
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, slots=True)
 class EntityCandidate:
     kind: str
     reference: Reference
@@ -179,19 +181,19 @@ class ReviewStore:
 
     def _take(self, store: dict, found: list) -> list[int]:
         known = {c.key for c in store.values()}
-        fresh: dict = {}
+        fresh = []
         for c in found:
             if c.key not in known:
-                fresh.setdefault(c.key, c)
+                known.add(c.key)
+                fresh.append(c)
+        del known
         if not fresh:
             return []
         self.revision = self._next()
         top = max(store, default=0)
-        ids = []
-        for i, c in enumerate(fresh.values(), top + 1):
+        for i, c in enumerate(fresh, top + 1):
             store[i] = replace(c, id=i, status=UNRESOLVED)
-            ids.append(i)
-        return ids
+        return list(range(top + 1, top + 1 + len(fresh)))
 
     def known_entities(self, spark: SparkSession, kind: str) -> DataFrame:
         """Keys and ids of the stored candidates of a kind; ids count over all kinds."""
@@ -315,8 +317,13 @@ class ReviewStore:
 
 def from_row(row, kind: str, source: str) -> EntityCandidate:
     """A candidate of the data plane's row."""
-    name = Evidence("agreeing", row["name"], row["canonical_name"])
-    return EntityCandidate(kind, Reference(row["provider"], row["provider_id"], row["provider_match_id"]), row["canonical_id"], source, row["confidence"], {"name": name, "context": Evidence(row["context"])})
+    return EntityCandidate(kind, Reference(intern(row["provider"]), row["provider_id"], row["provider_match_id"]), row["canonical_id"], source, row["confidence"], name_evidence(row["name"], row["canonical_name"], row["context"]))
+
+
+@lru_cache(4_096)
+def name_evidence(left: str | None, right: str | None, context: str) -> dict[str, Evidence]:
+    """One for all candidates that agree in it; evidence is never changed."""
+    return {"name": Evidence("agreeing", left, right), "context": Evidence(context)}
 
 
 def from_pair(row) -> MatchCandidate:
