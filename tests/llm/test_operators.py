@@ -794,6 +794,52 @@ def test_passage_whose_halves_stand_elsewhere(spark, parts):
     assert found == {(6, 3, 70, 60)}
 
 
+@pytest.mark.parametrize("most", [passages.MOST, 0])
+def test_passage_whose_every_seed_stands_elsewhere(spark, monkeypatch, most):
+    """All seeds of the last document's passage stand in others before and after the only one that has all of it; and so if all seeds are hot."""
+    monkeypatch.setattr(passages, "MOST", most)
+    line = [f"a{i}" for i in range(60)]
+    pad = lambda k: [f"{k}{i}" for i in range(70)]
+    parts = [part for _ in range(3) for part in (line[:34], line[26:])]
+    docs = [pad(f"{k}b") + part + pad(f"{k}c") for k, part in enumerate([*parts, line, *parts, line])]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string").repartition(1)
+    found = {(r["doc_id"], r["source_doc_id"], r["n_words"], r["class_doc_id"], r["class_first_word"]) for r in passages.passages(df).collect()}
+    assert found == {(13, 6, 60, 6, 70)}
+
+
+@pytest.mark.parametrize("most", [passages.MOST, 0])
+def test_passages_against_all_pairs(spark, monkeypatch, most):
+    """Any two places with a passage in common, by brute force over diagonals, are covered and have one class; and so if all seeds are hot."""
+    monkeypatch.setattr(passages, "MOST", most)
+    dice = random.Random(5)
+    lines = [[f"w{dice.randrange(3_000)}" for _ in range(dice.randrange(9, 32))] for _ in range(40)]
+    docs = []
+    for k in range(150):
+        words = [w for _ in range(dice.randrange(1, 6)) for w in (*lines[min(39, int(dice.expovariate(0.1)))], *(f"{k}x{dice.random()}" for _ in range(dice.choice([0, 0, 0, 40]))))]
+        docs.append([w if dice.random() < 0.94 else f"{k}y{i}" for i, w in enumerate(words)])
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string")
+    classes_of = defaultdict(set)
+    for r in passages.passages(df).collect():
+        one = r["class_doc_id"], r["class_first_word"]
+        for doc, first, size in ((r["doc_id"], r["first_word"], r["n_words"]), (r["source_doc_id"], r["source_first_word"], r["source_n_words"])):
+            for i in range(first, first + size):
+                classes_of[doc, i].add(one)
+    assert all(len(c) == 1 for c in classes_of.values())
+    wanted = lost = 0
+    for a, b in itertools.combinations(range(len(docs)), 2):
+        for shift in range(-len(docs[a]) + 50, len(docs[b]) - 49):
+            start = max(0, -shift)
+            same = np.array([docs[a][i] == docs[b][i + shift] for i in range(start, min(len(docs[a]), len(docs[b]) - shift))])
+            if same.sum() < 40:
+                continue
+            total = np.append(0, np.cumsum(same))
+            for i in np.flatnonzero((total[50:] - total[:-50] >= 40) & same[:-49] & same[49:]).tolist():
+                wanted += 1
+                left, right = (set().union(*(classes_of.get((doc, at + k), set()) for k in range(50))) for doc, at in ((a, start + i), (b, start + i + shift)))
+                lost += not left & right
+    assert wanted > 30 and not lost
+
+
 def test_passages_keep_no_more_on_disk_than_they_need(spark, sf, monkeypatch):
     """What a step shuffled is gone when it ends, packets when they are aligned; what goes to the earlier documents is shuffled in parts."""
     manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
