@@ -840,6 +840,22 @@ def test_passages_against_all_pairs(spark, monkeypatch, most):
     assert wanted > 30 and not lost
 
 
+def test_rows_of_one_word_are_of_one_class(spark):
+    """Rows of one word are linked with the first of them, not each with each."""
+    pad = lambda k: [f"{k}{i}" for i in range(70)]
+    docs = [pad(f"{k}b") + ["the"] * (60 + k % 9) + pad(f"{k}c") for k in range(40)]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string").repartition(3)
+    found = passages.passages(df).collect()
+    assert {r["doc_id"] for r in found} == set(range(1, 40)) and len(found) < 100
+    assert {(r["class_doc_id"], r["class_first_word"]) for r in found} == {(0, 70)}
+
+
+def test_chains_with_too_few_words_in_common_are_not_aligned():
+    row, rest = np.full(80, 7, "<u4"), np.arange(100, 180, dtype="<u4")
+    place = np.array([[0], [0], [4]])
+    assert passages.hopeful([(place, row, np.append(row[:12], rest)), (place, rest, rest), (place, row, row[:60])], 50, 0.8).tolist() == [False, True, True]
+
+
 def test_passages_keep_no_more_on_disk_than_they_need(spark, sf, monkeypatch):
     """What a step shuffled is gone when it ends, packets when they are aligned; what goes to the earlier documents is shuffled in parts."""
     manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
